@@ -12,10 +12,11 @@ SIGNIFICANT_FIGURES = 15
 # Reference prefix per layer.
 REF_PREFIX = {"habitats": "H", "hedgerows": "HG", "rivers": "R", "trees": "T"}
 
+# Fixed value: base name of a source that has none.
+DEFAULT_BASE_NAME = "bng-from-workbook"
+
 # The characters ECMAScript counts as white space when trimming.
-TRIMMED_CHARS = (
-    r"[\t\n\u000B\f\r    -     　﻿]"
-)
+TRIMMED_CHARS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def habitat_name(broad: Column, kind: Column) -> Column:
@@ -35,7 +36,7 @@ def years(raw: Column) -> Column:
     """Leading integer of a text, 0 when there is none."""
     digits = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1)
     bounded = F.least(F.greatest(digits.try_cast("double"), F.lit(-1e9)), F.lit(1e9))
-    return F.coalesce(F.when(digits == "", None).otherwise(bounded).cast("int"), F.lit(0))
+    return F.coalesce(F.when(digits != "", bounded.cast("int")), F.lit(0))
 
 
 def layer_ref(layer: str, number: Column) -> Column:
@@ -50,7 +51,8 @@ def parent_ref(ref: Column) -> Column:
 
 def significant(value: Column) -> Column:
     """Value trimmed to 15 significant figures."""
-    return F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value).cast("double")
+    text = F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value)
+    return F.when(value.isNotNull(), text.cast("double"))
 
 
 def is_finite(value: Column) -> Column:
@@ -78,7 +80,7 @@ def media_url(url: Column) -> Column:
     )
 
 
-def source_base_name(source: Column, default: str = "site-from-workbook") -> Column:
+def source_base_name(source: Column, default: str = DEFAULT_BASE_NAME) -> Column:
     """Last path segment without query, fragment or spreadsheet extension."""
     path = F.regexp_replace(F.regexp_replace(source, r"(?s)[?#].*$", ""), "/+$", "")
     segment = F.element_at(F.split(path, "/"), -1)

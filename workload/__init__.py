@@ -1,0 +1,6 @@
+"""Queries over the given tables that exercise every operator, and their SQL counterparts."""
+
+from workload import pricing  # noqa: F401
+from workload.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
