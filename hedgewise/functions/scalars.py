@@ -34,9 +34,8 @@ def kilometres(metres: Column) -> Column:
 
 def years(raw: Column) -> Column:
     """Leading integer of a text, 0 when there is none."""
-    digits = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1)
-    bounded = F.least(F.greatest(digits.try_cast("double"), F.lit(-1e9)), F.lit(1e9))
-    return F.coalesce(F.when(digits != "", bounded.cast("int")), F.lit(0))
+    leading = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1).try_cast("double")
+    return F.least(F.greatest(F.coalesce(leading, F.lit(0.0)), F.lit(-1e9)), F.lit(1e9)).cast("int")
 
 
 def layer_ref(layer: str, number: Column) -> Column:

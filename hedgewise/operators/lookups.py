@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -150,37 +150,58 @@ def read_lookups(spark: SparkSession, folder: str) -> Lookups:
     )
 
 
-def habitat_attributes(lookups: Lookups, kind: str, prefix: str) -> DataFrame:
-    """One row per habitat of ``kind``: distinctiveness and difficulty bands."""
+def difficulty_multiplier(band: Column) -> Column:
+    chosen = F.lit(None).cast("double")
+    for name, multiplier in DIFFICULTY_MULTIPLIERS.items():
+        chosen = F.when(band == name, F.lit(multiplier)).otherwise(chosen)
+    return chosen
+
+
+def habitat_attributes(lookups: Lookups, kind: str) -> DataFrame:
+    """One row per baseline habitat of ``kind``."""
     return lookups.habitat.where(F.col("kind") == kind).selectExpr(
-        f"name AS {prefix}_name",
-        f"band AS {prefix}_band",
-        f"score AS {prefix}_d",
-        f"create_difficulty AS {prefix}_create_difficulty",
-        f"enhance_difficulty AS {prefix}_enhance_difficulty",
-        f"true AS {prefix}_known",
+        "name AS base_name", "band AS base_band", "score AS base_d"
     )
 
 
-def condition_attributes(lookups: Lookups, kind: str, prefix: str) -> DataFrame:
-    """One row per condition a habitat can be in, with its score."""
-    return lookups.condition.where(F.col("kind") == kind).selectExpr(
-        f"name AS {prefix}_name", f"condition AS {prefix}_condition", f"score AS {prefix}_c"
+def target_attributes(lookups: Lookups, kind: str) -> DataFrame:
+    """One row per proposed habitat: distinctiveness, difficulty and years to reach poor."""
+    to_poor = lookups.years_create.where((F.col("kind") == kind) & (F.col("end_condition") == POOR))
+    return (
+        lookups.habitat.where(F.col("kind") == kind)
+        .join(to_poor.selectExpr("name", "years AS prop_poor_years"), "name", "left")
+        .selectExpr(
+            "name AS prop_name", "band AS prop_band", "score AS prop_d", "prop_poor_years",
+            "create_difficulty", "enhance_difficulty",
+        )
+        .withColumns(
+            {
+                "create_factor": difficulty_multiplier(F.col("create_difficulty")),
+                "enhance_factor": difficulty_multiplier(F.col("enhance_difficulty")),
+            }
+        )
     )
 
 
-def creation_years(lookups: Lookups, kind: str) -> DataFrame:
-    return lookups.years_create.where(F.col("kind") == kind).selectExpr(
-        "name AS prop_name",
-        "end_condition AS prop_condition",
-        "years AS prop_create_years",
-        "true AS prop_create_listed",
+def condition_attributes(lookups: Lookups, kind: str) -> DataFrame:
+    """One row per condition a baseline habitat can be in, with its score."""
+    return lookups.condition.where(F.col("kind") == kind).selectExpr(
+        "name AS base_name", "condition AS base_condition", "score AS base_c"
     )
 
 
-def years_to_poor(lookups: Lookups, kind: str) -> DataFrame:
-    return lookups.years_create.where((F.col("kind") == kind) & (F.col("end_condition") == POOR)).selectExpr(
-        "name AS prop_name", "years AS prop_poor_years"
+def target_conditions(lookups: Lookups, kind: str) -> DataFrame:
+    """One row per condition a proposed habitat can be in: score and years to create it."""
+    years = lookups.years_create.where(F.col("kind") == kind).selectExpr(
+        "name", "end_condition AS condition", "years AS create_years", "true AS create_listed"
+    )
+    return (
+        lookups.condition.where(F.col("kind") == kind)
+        .join(years, ["name", "condition"], "left")
+        .selectExpr(
+            "name AS prop_name", "condition AS prop_condition", "score AS prop_c",
+            "create_years", "create_listed",
+        )
     )
 
 

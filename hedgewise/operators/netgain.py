@@ -22,9 +22,12 @@ def net_change(baseline: Column, post: Column) -> dict[str, Column]:
 
 def net_gain(priced: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Totals per site over the rows that both sides could price, in one aggregate."""
-    before, after = F.col("base_price.units"), F.col("post_price.units")
+    units = priced.select(
+        *keys, F.col("base_price.units").alias("before"), F.col("post_price.units").alias("after")
+    )
+    before, after = F.col("before"), F.col("after")
     both = before.isNotNull() & after.isNotNull()
-    totals = priced.groupBy(*keys).agg(
+    totals = units.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(both, before)), F.lit(0.0)).alias("baseline_units"),
         F.coalesce(F.sum(F.when(both, after)), F.lit(0.0)).alias("post_units"),
         F.count_if(both).alias("priced"),

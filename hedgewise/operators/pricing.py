@@ -16,14 +16,15 @@ from hedgewise.operators.lookups import (
     WATERCOURSE,
     Lookups,
     condition_attributes,
-    creation_years,
     enhancement_years,
     habitat_attributes,
-    years_to_poor,
+    target_attributes,
+    target_conditions,
 )
 from hedgewise.plans import keyed_join
 
 RETAINED, ENHANCED, CREATED, LOST = "Retained", "Enhanced", "Created", "Lost"
+NO_MODE, RETAINED_MODE, ENHANCED_MODE, CREATED_MODE = 0, 1, 2, 3
 MAX_SHIFT_YEARS = 30
 
 # Yearly retention of value and the multiplier beyond 30 years.
@@ -49,23 +50,26 @@ def time_multiplier(waiting: Column) -> Column:
     return F.get(table, F.when(waiting > last, F.lit(last)).otherwise(waiting))
 
 
-def difficulty_multiplier(band: Column) -> Column:
-    chosen = F.lit(None).cast("double")
-    for name, multiplier in DIFFICULTY_MULTIPLIERS.items():
-        chosen = F.when(band == name, F.lit(multiplier)).otherwise(chosen)
-    return chosen
+def with_difficulty(rows: DataFrame, kind: str) -> DataFrame:
+    """Add ``band`` and ``difficulty``; both tests compare the advance with years it already shortened."""
+    advance = F.col("advance")
+    past_poor = (advance > 0) & (
+        advance >= adjusted_years(F.col("prop_poor_years"), advance, F.col("delay"))
+    )
+    as_created = (F.col("mode") == CREATED_MODE) & ~F.coalesce(past_poor, F.lit(False))
+    covered = F.coalesce((advance > 0) & (advance >= F.col("waiting")), F.lit(False))
+    rows = rows.withColumns({"as_created": as_created, "covered": covered if kind == AREA else F.lit(False)})
 
+    def chosen(low, create: str, enhance: str) -> Column:
+        by_table = F.when(F.col("as_created"), F.col(create)).otherwise(F.col(enhance))
+        return F.when(F.col("covered"), F.lit(low)).otherwise(by_table)
 
-def difficulty_band(kind: str) -> Column:
-    """The difficulty band; both tests compare the advance with years it already shortened."""
-    advance, delay = F.col("advance"), F.col("delay")
-    created, advanced = F.col("mode") == CREATED, advance > 0
-    past_poor = advanced & (advance >= adjusted_years(F.col("prop_poor_years"), advance, delay))
-    create_band, enhance_band = F.col("prop_create_difficulty"), F.col("prop_enhance_difficulty")
-    band = F.when(created & ~F.coalesce(past_poor, F.lit(False)), create_band).otherwise(enhance_band)
-    if kind == AREA:
-        band = F.when(advanced & (advance >= F.col("waiting")), F.lit("Low")).otherwise(band)
-    return band
+    return rows.withColumns(
+        {
+            "band": chosen("Low", "create_difficulty", "enhance_difficulty"),
+            "difficulty": chosen(DIFFICULTY_MULTIPLIERS["Low"], "create_factor", "enhance_factor"),
+        }
+    )
 
 
 def standing_units(size: Column, distinctiveness: Column, condition: Column) -> Column:
@@ -82,95 +86,96 @@ def post_units() -> Column:
     before, after = F.col("before_units"), F.col("after_units")
     time, difficulty = F.col("time"), F.col("difficulty")
     return (
-        F.when(F.col("mode") == RETAINED, before)
-        .when(F.col("mode") == ENHANCED, before + (after - before) * time * difficulty)
-        .when(F.col("mode") == CREATED, after * time * difficulty)
+        F.when(F.col("mode") == RETAINED_MODE, before)
+        .when(F.col("mode") == ENHANCED_MODE, before + (after - before) * time * difficulty)
+        .otherwise(after * time * difficulty)
     )
 
 
 # -- reject reasons ------------------------------------------------------------
 
+# A reason is carried as a small number and spelled out only where its text is asked
+# for, which keeps the generated code of the pricing stage short enough to be compiled.
+(
+    UNPRICED, BASE_UNKNOWN, PROP_UNKNOWN, BASE_CONDITION, PROP_CONDITION, SHIFT_CONFLICT, SHIFT_LONG,
+    YEARS_UNLISTED, NOT_POSSIBLE, POOR_NOT_POSSIBLE, ENCROACHMENT_MISSING, BAND_UNLISTED, SIZE_MISSING,
+) = range(1, 14)
 
-def _unknown_habitat(prefix: str) -> Column:
-    name = F.coalesce(f"{prefix}_name", F.lit("null"))
-    return F.when(
-        F.col(f"{prefix}_known").isNull(),
-        F.concat(F.lit("Habitat '"), name, F.lit("' is not a valid habitat")),
-    )
 
+def _first(*checks: tuple[Column, int], otherwise: Column | None = None) -> Column:
+    """Number of the first check that holds, else ``otherwise``, NULL when there is none."""
+    chain = F
+    for condition, number in checks:
+        chain = chain.when(condition, F.lit(number))
+    return chain if otherwise is None else chain.otherwise(otherwise)
 
-def _invalid_condition(prefix: str) -> Column:
-    return F.when(
-        F.col(f"{prefix}_c").isNull(),
-        F.concat(
-            F.lit("Condition '"),
-            F.coalesce(f"{prefix}_condition", F.lit("null")),
-            F.lit("' is not a valid condition for habitat: "),
-            F.col(f"{prefix}_name"),
-        ),
-    )
 
-
-def _size_missing() -> Column:
-    return F.when(F.col("size").isNull(), F.lit("Size missing"))
-
-
-def _shift_reject() -> Column:
-    advance, delay = F.col("advance"), F.col("delay")
-    both = F.concat(
-        F.lit("Advance ("), advance, F.lit(") and delay ("), delay,
-        F.lit(
-            ") years cannot both be used on the same habitat."
-            " Use one or the other, or split the habitat across two parcels."
-        ),
-    )
-    long = F.concat(
-        F.lit("Advance ("), advance, F.lit(") or delay ("), delay,
-        F.lit(f") years exceed the limit of {MAX_SHIFT_YEARS}"),
+def base_reject_code() -> Column:
+    return _first(
+        (F.col("base_d").isNull(), BASE_UNKNOWN),
+        (F.col("base_c").isNull(), BASE_CONDITION),
+        (F.col("size").isNull(), SIZE_MISSING),
     )
-    limit = (advance > MAX_SHIFT_YEARS) | (delay > MAX_SHIFT_YEARS)
-    return F.when((advance > 0) & (delay > 0), both).when(limit, long)
 
 
-def _about_proposed(start: str, end: Column | None = None) -> Column:
-    return F.concat(F.lit(f"{start} for habitat: "), F.col("prop_name"), *([] if end is None else [end]))
-
-
-def _target_reject(kind: str) -> Column:
-    """First fault of the time, encroachment or difficulty lookups of a creation or enhancement."""
-    created = F.col("mode") == CREATED
-    not_possible = "Time to target 'Not Possible'"
-    to_condition = F.concat(F.lit(", endCondition: "), F.col("prop_condition"))
-    found = (
-        F.when(F.col("reference_listed").isNull(), _about_proposed("Lookup missing (years to target)"))
-        .when(F.col("reference_years").isNull(), _about_proposed(not_possible, to_condition))
-    )
+def post_reject_code(kind: str) -> Column:
+    """First reason a row has no units after the works, NULL when it has."""
+    mode, advance, delay = F.col("mode"), F.col("advance"), F.col("delay")
+    created, limit = mode == CREATED_MODE, F.lit(MAX_SHIFT_YEARS)
+    checks = [
+        (~created & F.col("base_d").isNull(), BASE_UNKNOWN),
+        (F.col("prop_d").isNull(), PROP_UNKNOWN),
+        (~created & F.col("base_c").isNull(), BASE_CONDITION),
+        (F.col("prop_c").isNull(), PROP_CONDITION),
+        ((advance > 0) & (delay > 0), SHIFT_CONFLICT),
+        ((advance > limit) | (delay > limit), SHIFT_LONG),
+        (F.col("waiting").isNull(), NOT_POSSIBLE),
+    ]
     if kind == AREA:
         # Years to poor are looked up even where no advance makes them matter.
-        blocked = created & (F.col("advance") <= 0) & F.col("prop_poor_years").isNull()
-        found = found.when(blocked, _about_proposed(not_possible, F.lit(f", endCondition: {POOR}")))
+        checks.append((created & (advance <= 0) & F.col("prop_poor_years").isNull(), POOR_NOT_POSSIBLE))
     if kind == WATERCOURSE:
-        missing = created & (F.col("encroachment_m").isNull() | F.col("riparian_m").isNull())
-        found = found.when(missing, _about_proposed("Encroachment missing"))
-    return found.when(F.col("band").isNull(), _about_proposed("Lookup missing (difficulty)"))
+        missing = F.col("encroachment_m").isNull() | F.col("riparian_m").isNull()
+        checks.append((created & missing, ENCROACHMENT_MISSING))
+    checks += [(F.col("difficulty").isNull(), BAND_UNLISTED), (F.col("size").isNull(), SIZE_MISSING)]
+    return (
+        F.when(mode == RETAINED_MODE, F.col("base_code"))
+        .when(mode == NO_MODE, F.lit(UNPRICED))
+        .otherwise(_first(*checks))
+    )
 
 
-def post_reject(kind: str) -> Column:
-    """First reason a row has no units after the works, NULL when it has."""
-    mode = F.col("mode")
-    unpriced = F.concat(
-        F.lit("Retention category '"), F.coalesce("retention", F.lit("null")), F.lit("' is not priced")
-    )
-    standing, proposing = mode.isin(RETAINED, ENHANCED), mode.isin(ENHANCED, CREATED)
-    return F.coalesce(
-        F.when(mode.isNull(), unpriced),
-        F.when(standing, _unknown_habitat("base")),
-        F.when(proposing, _unknown_habitat("prop")),
-        F.when(standing, _invalid_condition("base")),
-        F.when(proposing, _invalid_condition("prop")),
-        F.when(proposing, _shift_reject()),
-        F.when(proposing, _target_reject(kind)),
-        _size_missing(),
+def with_unlisted(code: Column) -> Column:
+    """Tell a target the tables do not list from one they list as not possible."""
+    return F.when((code == NOT_POSSIBLE) & F.col("reference_listed").isNull(), YEARS_UNLISTED).otherwise(code)
+
+
+# Wording per reason, over (1 retention, 2 baseline habitat, 3 baseline
+# condition, 4 proposed habitat, 5 proposed condition, 6 advance, 7 delay).
+REASONS = {
+    UNPRICED: "Retention category '%1$s' is not priced",
+    BASE_UNKNOWN: "Habitat '%2$s' is not a valid habitat",
+    PROP_UNKNOWN: "Habitat '%4$s' is not a valid habitat",
+    BASE_CONDITION: "Condition '%3$s' is not a valid condition for habitat: %2$s",
+    PROP_CONDITION: "Condition '%5$s' is not a valid condition for habitat: %4$s",
+    SHIFT_CONFLICT: "Advance (%6$s) and delay (%7$s) years cannot both be used on the same habitat."
+    " Use one or the other, or split the habitat across two parcels.",
+    SHIFT_LONG: f"Advance (%6$s) or delay (%7$s) years exceed the limit of {MAX_SHIFT_YEARS}",
+    YEARS_UNLISTED: "Lookup missing (years to target) for habitat: %4$s",
+    NOT_POSSIBLE: "Time to target 'Not Possible' for habitat: %4$s, endCondition: %5$s",
+    POOR_NOT_POSSIBLE: f"Time to target 'Not Possible' for habitat: %4$s, endCondition: {POOR}",
+    ENCROACHMENT_MISSING: "Encroachment missing for habitat: %4$s",
+    BAND_UNLISTED: "Lookup missing (difficulty) for habitat: %4$s",
+    SIZE_MISSING: "Size missing",
+}
+
+
+def reject_text(code: Column) -> Column:
+    """The reason in words, NULL without a reason."""
+    wording = F.get(F.array(F.lit(""), *[F.lit(REASONS[n]) for n in sorted(REASONS)]), code)
+    arguments = ("retention", "base_name", "base_condition", "prop_name", "prop_condition", "advance", "delay")
+    return F.when(
+        code.isNotNull(), F.call_function("format_string", wording, *[F.col(a) for a in arguments])
     )
 
 
@@ -182,12 +187,10 @@ def with_lookups(df: DataFrame, lookups: Lookups, kind: str) -> DataFrame:
     base, prop = ["base_name"], ["prop_name"]
     joined = df
     for table, keys in (
-        (habitat_attributes(lookups, kind, "base"), base),
-        (habitat_attributes(lookups, kind, "prop"), prop),
-        (years_to_poor(lookups, kind), prop),
-        (condition_attributes(lookups, kind, "base"), [*base, "base_condition"]),
-        (condition_attributes(lookups, kind, "prop"), [*prop, "prop_condition"]),
-        (creation_years(lookups, kind), [*prop, "prop_condition"]),
+        (habitat_attributes(lookups, kind), base),
+        (target_attributes(lookups, kind), prop),
+        (condition_attributes(lookups, kind), [*base, "base_condition"]),
+        (target_conditions(lookups, kind), [*prop, "prop_condition"]),
         (enhancement_years(lookups, kind), [*base, "base_condition", *prop, "prop_condition"]),
     ):
         joined = keyed_join(joined, table, keys)
@@ -218,65 +221,74 @@ def price(
         {
             "advance": years(F.col("advance_raw")),
             "delay": years(F.col("delay_raw")),
-            "mode": F.when(retention.isin(RETAINED, ENHANCED), retention)
-            .when(retention.isin(*labels), F.lit(CREATED)),
+            "mode": F.when(retention == RETAINED, RETAINED_MODE)
+            .when(retention == ENHANCED, ENHANCED_MODE)
+            .when(retention.isin(*labels), CREATED_MODE)
+            .otherwise(NO_MODE),
         }
     )
     rows = with_lookups(rows, lookups, kind)
-    pressed = F.lit(1.0)
-    if kind == WATERCOURSE:
-        pressed = F.coalesce("encroachment_m", F.lit(1.0)) * F.coalesce("riparian_m", F.lit(1.0))
+    created = mode == CREATED_MODE
     rows = rows.withColumns(
         {
-            "reference_years": F.when(mode == CREATED, F.col("prop_create_years"))
-            .when(mode == ENHANCED, F.col("enhance_years")),
-            "reference_listed": F.when(mode == CREATED, F.col("prop_create_listed"))
-            .when(mode == ENHANCED, F.col("enhance_listed")),
-            "pressed": pressed,
+            "reference_years": F.when(created, F.col("create_years")).otherwise(F.col("enhance_years")),
+            "reference_listed": F.when(created, F.col("create_listed")).otherwise(F.col("enhance_listed")),
             "before_units": standing_units(F.col("size"), F.col("base_d"), F.col("base_c")),
             "after_units": standing_units(F.col("size"), F.col("prop_d"), F.col("prop_c")),
-            "base_reject": F.coalesce(
-                _unknown_habitat("base"), _invalid_condition("base"), _size_missing()
-            ),
+            "base_code": base_reject_code(),
         }
     )
     waiting = adjusted_years(F.col("reference_years"), F.col("advance"), F.col("delay"))
-    rows = rows.withColumn("waiting", waiting).withColumn("band", difficulty_band(kind))
+    rows = with_difficulty(rows.withColumn("waiting", waiting), kind)
+    rows = rows.withColumns({"time": time_multiplier(F.col("waiting")), "post_code": post_reject_code(kind)})
+    base_units, units = F.col("before_units"), post_units()
+    if kind == WATERCOURSE:
+        pressed = F.coalesce("encroachment_m", F.lit(1.0)) * F.coalesce("riparian_m", F.lit(1.0))
+        base_units, units = base_units * pressed, units * pressed
     rows = rows.withColumns(
         {
-            "time": time_multiplier(F.col("waiting")),
-            "difficulty": difficulty_multiplier(F.col("band")),
-            "post_reject": post_reject(kind),
+            "base_units": significant(F.when(F.col("base_code").isNull(), base_units)),
+            "post_units": significant(F.when(F.col("post_code").isNull(), units)),
         }
     )
-    rows = rows.withColumn("priced_units", F.when(F.col("post_reject").isNull(), post_units() * F.col("pressed")))
-
-    scored = F.col("post_reject").isNull()
-    risky = scored & (mode != RETAINED)
-    own = F.when(mode == RETAINED, F.col("base_d")).when(mode == CREATED, F.col("prop_d"))
-    state = F.when(mode == RETAINED, F.col("base_c")).when(mode == CREATED, F.col("prop_c"))
-    base_ok = F.col("base_reject").isNull()
-    base_price = F.struct(
-        F.when(base_ok, significant(F.col("before_units") * F.col("pressed"))).alias("units"),
-        F.when(base_ok, F.col("base_d")).alias("distinctiveness"),
-        F.when(base_ok, F.col("base_c")).alias("condition"),
-        F.lit(1.0).alias("significance"),
-        F.col("base_reject").alias("reject"),
-    )
-    post_price = F.struct(
-        F.when(scored, significant(F.col("priced_units"))).alias("units"),
-        F.when(scored, own).alias("distinctiveness"),
-        F.when(scored, state).alias("condition"),
-        F.when(risky, F.col("time")).alias("time"),
-        F.when(risky, F.col("difficulty")).alias("difficulty"),
-        F.lit(1.0).alias("significance"),
-        F.when(risky, F.col("band")).alias("band"),
-        F.when(risky, F.col("reference_years")).alias("standard_years"),
-        F.col("post_reject").alias("reject"),
+    base_ok, post_ok = F.col("base_code").isNull(), F.col("post_code").isNull()
+    risky = post_ok & (mode != RETAINED_MODE)
+    rows = rows.withColumns(
+        {
+            "base_distinctiveness": F.when(base_ok, F.col("base_d")),
+            "base_condition_score": F.when(base_ok, F.col("base_c")),
+            "base_reject": reject_text(F.col("base_code")),
+            "post_distinctiveness": F.when(
+                post_ok, F.when(mode == RETAINED_MODE, F.col("base_d")).when(created, F.col("prop_d"))
+            ),
+            "post_condition_score": F.when(
+                post_ok, F.when(mode == RETAINED_MODE, F.col("base_c")).when(created, F.col("prop_c"))
+            ),
+            "post_time": F.when(risky, F.col("time")),
+            "post_difficulty": F.when(risky, F.col("difficulty")),
+            "post_band": F.when(risky, F.col("band")),
+            "standard_years": F.when(risky, F.col("reference_years")),
+            "post_reject": reject_text(with_unlisted(F.col("post_code"))),
+            "incomplete": _incomplete(),
+        }
     )
+    base_price = {
+        "units": "base_units", "distinctiveness": "base_distinctiveness", "condition": "base_condition_score",
+        "reject": "base_reject",
+    }
+    post_price = {
+        "units": "post_units", "distinctiveness": "post_distinctiveness", "condition": "post_condition_score",
+        "time": "post_time", "difficulty": "post_difficulty", "band": "post_band",
+        "standard_years": "standard_years", "reject": "post_reject",
+    }
+
+    def packed(fields: dict[str, str]) -> Column:
+        # Strategic significance is reported but always 1.
+        return F.struct(*[F.col(c).alias(n) for n, c in fields.items()], F.lit(1.0).alias("significance"))
+
     return rows.select(
-        *df.columns, "advance", "delay", "base_band", "prop_band",
-        _incomplete().alias("incomplete"), base_price.alias("base_price"), post_price.alias("post_price"),
+        *df.columns, "advance", "delay", "base_band", "prop_band", "incomplete",
+        packed(base_price).alias("base_price"), packed(post_price).alias("post_price"),
     )
 
 

@@ -190,12 +190,16 @@ SELECT coalesce(band, 'unknown') AS band, cd AS create_difficulty, ed AS enhance
 FROM parcels LEFT JOIN hab ON hab.name = base_broad || ' - ' || base_type GROUP BY 1, 2, 3""",
 )
 def lookup_coverage(spark, folder):
-    attributes = lk.habitat_attributes(t.synthetic_lookups(spark), lk.AREA, "base")
-    joined = lk.keyed_join(t.pricing_input(t.parcels(spark, folder)), attributes, ["base_name"])
+    attributes = lk.target_attributes(t.synthetic_lookups(spark), lk.AREA)
+    joined = lk.keyed_join(
+        t.pricing_input(t.parcels(spark, folder)).drop("prop_name"),
+        attributes.withColumnRenamed("prop_name", "base_name"),
+        ["base_name"],
+    )
     return joined.groupBy(
-        F.coalesce("base_band", F.lit("unknown")).alias("band"),
-        F.col("base_create_difficulty").alias("create_difficulty"),
-        F.col("base_enhance_difficulty").alias("enhance_difficulty"),
+        F.coalesce("prop_band", F.lit("unknown")).alias("band"),
+        "create_difficulty",
+        "enhance_difficulty",
     ).agg(
         F.count(F.lit(1)).alias("parcels"),
         rounded(F.sum("area_m2") / 10000.0, 4).alias("hectares"),
