@@ -34,7 +34,7 @@ parcels AS (
     {CONDITIONS}[CAST((l_suppkey + l_linenumber) % 5 AS INTEGER) + 1] AS prop_condition,
     CASE l_returnflag WHEN 'R' THEN 'Retained' WHEN 'A' THEN 'Enhanced' ELSE 'Lost' END AS retention,
     {YEAR_TEXTS},
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n
   FROM lineitem)"""
 
 # Area lookups: habitat h in 0..7, condition c in 0..4.

@@ -160,7 +160,7 @@ def parcels(spark: SparkSession, folder: str) -> DataFrame:
 def placed(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Add ``n``, the parcel's position within its site."""
     return numbered(
-        df, ["site_id"], ["l_linenumber", "l_partkey", "l_suppkey"], "n",
+        df, ["site_id"], ["l_linenumber", "l_partkey", "l_suppkey", "area_m2"], "n",
         {"line_slice": F.col("l_linenumber"), "part_slice": F.floor(F.col("l_partkey") / 4096)},
     )
 
