@@ -49,7 +49,11 @@ def parent_ref(ref: Column) -> Column:
 
 
 def significant(value: Column) -> Column:
-    """Value trimmed to 15 significant figures."""
+    """Value trimmed to 15 significant figures.
+
+    Rounds the shortest decimal that denotes the double, halves up, so a value lying a
+    hair below a half may differ by one in the fifteenth figure.
+    """
     text = F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value)
     return F.when(value.isNotNull(), text.cast("double"))
 
