@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SQ_METRES_PER_HECTARE = 10_000.0
 METRES_PER_KILOMETRE = 1_000.0
 SIGNIFICANT_FIGURES = 15
+# 2^27 + 1 cuts a double into two halves whose products are exact.
+SPLITTER = 134217729.0
 
 # Reference prefix per layer.
 REF_PREFIX = {"habitats": "H", "hedgerows": "HG", "rivers": "R", "trees": "T"}
@@ -49,13 +51,41 @@ def parent_ref(ref: Column) -> Column:
 
 
 def significant(value: Column) -> Column:
-    """Value trimmed to 15 significant figures.
+    """Value trimmed to 15 significant figures, halves away from zero.
 
-    Rounds the shortest decimal that denotes the double, halves up, so a value lying a
-    hair below a half may differ by one in the fifteenth figure.
+    The value is scaled to a 15-digit whole number in two doubles (product and its exact
+    error, by splitting the factors), so the rounding sees the exact value and not its
+    shortest decimal. Values outside 1e-8..1e15 stay as they are. The one-element arrays
+    name the intermediate results, each of which the next step reads several times.
     """
-    text = F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value)
-    return F.when(value.isNotNull(), text.cast("double"))
+
+    def split(number: Column) -> Column:
+        return number * SPLITTER - (number * SPLITTER - number)
+
+    def scale(x: Column) -> Column:
+        magnitude = F.floor(F.log10(F.greatest(x, F.lit(1e-8))))
+        return F.struct(x.alias("x"), F.pow(F.lit(10.0), SIGNIFICANT_FIGURES - 1 - magnitude).alias("s"))
+
+    def halves(r: Column) -> Column:
+        x, s = r["x"], r["s"]
+        return F.struct(
+            x.alias("x"), s.alias("s"), (x * s).alias("p"), split(x).alias("xh"), split(s).alias("sh")
+        )
+
+    def error(r: Column) -> Column:
+        x, s, p, xh, sh = (r[c] for c in ("x", "s", "p", "xh", "sh"))
+        rest = ((xh * sh - p) + xh * (s - sh) + (x - xh) * sh) + (x - xh) * (s - sh)
+        return F.struct(s.alias("s"), p.alias("p"), rest.alias("e"), F.floor(p).alias("f"))
+
+    def whole(r: Column) -> Column:
+        return (r["f"] + F.floor((r["p"] - r["f"]) + r["e"] + 0.5)) / r["s"]
+
+    steps = F.array(F.abs(value))
+    for step in (scale, halves, error, whole):
+        steps = F.transform(steps, step)
+    trimmed_value = F.get(steps, F.lit(0))
+    inside = (F.abs(value) >= 1e-8) & (F.abs(value) < 1e15)
+    return F.when(inside, F.when(value < 0, -trimmed_value).otherwise(trimmed_value)).otherwise(value)
 
 
 def is_finite(value: Column) -> Column:

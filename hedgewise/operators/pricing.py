@@ -247,10 +247,13 @@ def price(
         base_units, units = base_units * pressed, units * pressed
     rows = rows.withColumns(
         {
-            "base_units": significant(F.when(F.col("base_code").isNull(), base_units)),
-            "post_units": significant(F.when(F.col("post_code").isNull(), units)),
+            "base_raw": F.when(F.col("base_code").isNull(), base_units),
+            "post_raw": F.when(F.col("post_code").isNull(), units),
         }
     )
+    rows = rows.withColumns(
+        {"base_units": significant(F.col("base_raw")), "post_units": significant(F.col("post_raw"))}
+    )
     base_ok, post_ok = F.col("base_code").isNull(), F.col("post_code").isNull()
     risky = post_ok & (mode != RETAINED_MODE)
     rows = rows.withColumns(

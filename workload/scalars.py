@@ -39,12 +39,13 @@ def parcel_scalars(spark, folder):
 @query(
     "significant_figures",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CAST(printf('%.14e', l_extendedprice / 3.0) AS DOUBLE) AS trimmed FROM lineitem""",
+  CAST(printf('%.14e', l_extendedprice * l_discount / 7.0) AS DOUBLE) AS trimmed FROM lineitem""",
 )
 def significant_figures(spark, folder):
-    return t.load(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        sc.significant(F.col("l_extendedprice") / 3.0).alias("trimmed"),
+    value = F.col("l_extendedprice") * F.col("l_discount") / 7.0
+    rows = t.load(spark, folder, "lineitem").withColumn("value", value)
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sc.significant(F.col("value")).alias("trimmed")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hedgewise.functions.scalars import habitat_name, hectares, kilometres, layer_ref
 from hedgewise.operators import lookups as lk
-from hedgewise.plans import literal_table, numbered
+from hedgewise.plans import literal_table, numbered, widened
 
 CONDITIONS = ["Good", "Fairly Good", "Moderate", "Fairly Poor", "Poor"]
 CONDITION_VALUES = [3.0, 2.5, 2.0, 1.5, 1.0]
@@ -25,7 +25,7 @@ TREE_SIZES = ["Small", "Medium", "Large", "Unlisted"]
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return widened(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
 def pick(values: list, index: Column) -> Column:
