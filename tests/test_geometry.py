@@ -10,7 +10,7 @@ from hedgewise.operators import generate as gen
 from hedgewise.operators import shape_rules as sr
 from hedgewise.operators import spatial as sp
 from hedgewise.operators import validate as va
-from hedgewise.plans import literal_table
+from hedgewise.plans import literal_table, written
 
 CONDITIONS = ["Good", "Moderate", "Poor"]
 
@@ -99,7 +99,7 @@ def flaw_codes(spark):
     names = ["Broad 0 - Type 0"]
     made = gen.generate(base, names, CONDITIONS, ["Hedge 0"], ["Water 0"])
     flawed = gen.inject_flaws(made, flaws, base, "Broad 1 - Type 1").withColumn("stage", F.lit("baseline"))
-    features = va.written(sr.with_facts(flawed), "flaw-test")
+    features = written(sr.with_facts(flawed), "flaw-test")
     shapes = sr.shape_rules(base.withColumn("stage", F.lit("baseline")), features).unionByName(sr.legal_shape_rules(features))
     outline = spark.range(1).select(
         F.lit("England").alias("outline"), g.box_wkb(F.lit(0.0), F.lit(0.0), F.lit(7e5), F.lit(1.3e6)).alias("geometry")

@@ -10,7 +10,7 @@ from hedgewise.operators import scenarios as scn
 from hedgewise.operators import shape_rules as sr
 from hedgewise.operators import spatial as sp
 from hedgewise.operators import validate as va
-from hedgewise.plans import scratch_path
+from hedgewise.plans import scratch_path, written
 from hedgewise.sources import manifest as man
 from workload import sql as q
 from workload import tables as t
@@ -123,7 +123,7 @@ def flawed_site_codes(spark, folder):
     made = gen.generate(base, NAMES, t.CONDITIONS, HEDGES, RIVERS)
     flawed = gen.inject_flaws(made, plan, base, "Broad 1 - Type 1").withColumn("stage", F.lit("baseline"))
     features = sr.with_facts(flawed)
-    features = va.written(features, "flawed")
+    features = written(features, "flawed")
     shapes = sr.shape_rules(base.withColumn("stage", F.lit("baseline")), features).unionByName(
         sr.legal_shape_rules(features)
     )

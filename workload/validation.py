@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgewise.functions import geometry as g
@@ -507,18 +507,30 @@ def submission(spark, folder) -> va.Submission:
         "site_id", "stage", "table_name", "column_name", "sqlite_type", "not_null", "is_pk"
     )
     tables = sites.withColumn("table_name", F.explode(F.array(*[F.lit(n) for n in st.SYSTEM_TABLES])))
-    names = t.pricing_input(t.placed(t.parcels(spark, folder))).select(
-        "site_id", F.col("n").alias("feature_id"), "base_name", "prop_name", "advance_raw", "delay_raw"
-    )
-    habitats = boxes(spark, folder).select(*columns).join(names, ["site_id", "feature_id"])
-    empty = {c: F.lit(None).cast("string") for c in ("base_name", "prop_name", "advance_raw", "delay_raw")}
-    others = (
-        hedge_lines(spark, folder).select(*columns)
-        .unionByName(tree_points(spark, folder).select(*columns))
-        .unionByName(site_lines(spark, folder).select(*columns))
-        .withColumns(empty)
-    )
-    features = habitats.unionByName(others).withColumn(
+    rows = t.pricing_input(t.placed(t.parcels(spark, folder)))
+    n = F.col("n")
+    x0, x1 = (n - 1) * 100.0, n * 100.0
+    reach = F.when(F.col("l_quantity") % 10 == 0, 1.0).otherwise(0.0)
+    shapes = rows.withColumns(
+        {
+            "box": g.box_wkb(x0, F.lit(0.0), x1 + reach, F.lit(50.0)),
+            "line": g.line_wkb(x0, F.lit(25.0), x1 + F.col("l_linenumber") - 4.0, F.lit(25.0)),
+            "dot": g.point_wkb(x1 - 50.0, F.col("l_quantity") + 1.0),
+        }
+    )
+
+    def layer(name: str, shape: str) -> Column:
+        return F.struct(F.lit(name).alias("layer"), F.col(shape).alias("geometry"))
+
+    layered = F.array(layer("Habitats", "box"), layer("Hedgerows", "line"), layer("Urban Trees", "dot"))
+    texts = ("base_name", "prop_name", "advance_raw", "delay_raw")
+    parcel = F.col("layer") == "Habitats"
+    features = shapes.withColumn("l", F.explode(layered)).select(
+        "site_id", F.lit("baseline").alias("stage"), "l.layer", n.alias("feature_id"),
+        F.col("parcel_ref").alias("feature_ref"), "l.geometry", *texts,
+    ).withColumns({c: F.when(parcel, F.col(c)) for c in texts})
+    outline = site_lines(spark, folder).select(*columns).withColumns({c: F.lit(None).cast("string") for c in texts})
+    features = features.unionByName(outline).withColumn(
         "habitat_kind", F.when(F.col("layer") == "Habitats", lk.AREA).otherwise("tree")
     )
     return va.Submission(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hedgewise.operators import workbook as op
-from hedgewise.plans import numbered
+from hedgewise.plans import numbered, written
 from workload import sql as q
 from workload import tables as t
 from workload.pricing import rounded
@@ -33,6 +33,8 @@ def sheets(spark, folder, layer="habitats"):
             "strategic_significance": F.lit("Low"),
         }
     )
+    # The sheets are stored tables to the operators, so the numbering is done once.
+    rows = written(rows, "sheets")
     fate = F.col("l_partkey") % 4
     size, retained, enhanced, lost = op.SIZES[layer]
     shares = {retained: [1.0, 0.4, 0.0, 0.0], enhanced: [0.0, 0.6, 1.0, 0.0], lost: [0.0, 0.0, 0.0, 1.0]}
