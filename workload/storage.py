@@ -197,14 +197,13 @@ def file_format_codes(spark, folder):
 
 @query(
     "file_metadata_faults",
-    "SELECT '/sites/' || p_partkey || '.gpkg' AS path, CAST(22 AS INTEGER) AS length FROM part WHERE p_partkey % 23 = 0",
+    """SELECT '/sites/' || p_partkey || '.gpkg' AS path, p_partkey || '.gpkg' AS name, 'INVALID_FILE_METADATA' AS code
+FROM part WHERE length(p_partkey || '.gpkg') > 8""",
 )
 def file_metadata_faults(spark, folder):
-    """Files below the smallest possible size, here those that are no database."""
+    """All files against bounds on size and on the length of the name."""
     listed = site_files(spark, folder).select("path", F.length("content").alias("length"))
-    small = listed.where("length < 100").select("path", "length")
-    bad = gpkg.metadata_faults(small.withColumn("length", F.col("length")), max_bytes=1, max_name=100)
-    return bad.select("path", "length")
+    return gpkg.metadata_faults(listed, max_bytes=1_000_000_000, max_name=8).select("path", "name", "code")
 
 
 # -- streams -------------------------------------------------------------------------------

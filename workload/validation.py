@@ -388,7 +388,6 @@ hits AS (
   UNION ALL SELECT site_id, 'GPKG_RLB_NO_POLYGON', 'Red Line Boundary' FROM h WHERE site_id % 53 = 0 OR site_id % 61 = 0
   UNION ALL SELECT site_id, 'GPKG_RLB_TOO_MANY_POLYGONS', 'Red Line Boundary' FROM h WHERE site_id % 59 = 0 AND site_id % 53 <> 0
   UNION ALL SELECT site_id, 'NO_HABITAT_AREAS', 'Habitats' FROM h WHERE site_id % 29 = 0
-    OR (site_id % 31 <> 0 AND k = 1 AND false)
   UNION ALL SELECT site_id, 'GPKG_HABITATS_WRONG_GEOMETRY_TYPE', 'Habitats' FROM h
     WHERE site_id % 29 <> 0 AND site_id % 31 <> 0 AND site_id % 37 = 0 AND k > 1
   UNION ALL SELECT site_id, 'GPKG_HABITATS_UNREADABLE_GEOMETRY', 'Habitats' FROM h WHERE site_id % 31 = 0 AND site_id % 29 <> 0
