@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewise.llm import packing, shards
+from hedgewise.llm import neardup, packing, shards
 from hedgewise.plans import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,9 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
