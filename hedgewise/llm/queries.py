@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewise.llm import decontam, neardup, packing, shards
+from hedgewise.llm import decontam, neardup, packing, quality, shards
 from hedgewise.plans import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,19 @@ def op6_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "log_perplexity",
+    )
