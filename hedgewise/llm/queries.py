@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewise.llm import decontam, neardup, packing, quality, shards, toxicity
+from hedgewise.llm import decontam, neardup, packing, quality, secrets, shards, toxicity
 from hedgewise.plans import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_convolutional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
