@@ -2,7 +2,7 @@
 
 A document's set holds its distinct five-word shingles. Documents with equal sets form a class, so exact copies never
 meet as pairs. Bands of MinHash values propose pairs of classes. A second row of MinHash samples (the smallest hash in
-each of 1024 ranges of one permutation) is folded into a parity bitmap: a bit is set if an odd number of samples fall on
+each of 4096 ranges of one permutation) is folded into a parity bitmap: a bit is set if an odd number of samples fall on
 it, so the XOR of two bitmaps counts the samples that only one side has. Its population count rejects pairs that are
 far from the wanted similarity; what is left is confirmed on the full sets.
 
@@ -30,7 +30,7 @@ SHINGLE = 5
 #: Bands of rows: a pair of similarity s meets in none with probability (1 - s^ROWS)^BANDS, 4e-7 at 0.85.
 BANDS, ROWS = 25, 5
 #: Ranges of the sampled permutation, and bits of the parity bitmap.
-RANGES, BITS = 1024, 1024
+RANGES, BITS = 4096, 2048
 #: Standard deviations that a pair's count may lie beyond the one expected at the wanted similarity.
 MARGIN = 4.5
 #: Up to so many rows of (doc_id) are broadcast to pick documents; more are joined by a shuffle.
@@ -95,7 +95,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         least = np.minimum.reduceat((low ^ _XOR[i]) * _ODD[i], at)
         bands[:, i // ROWS] += least.astype(np.uint64) * PLACE[i]
     bands = mixed(bands + PLACE[:BANDS])
-    ranges = sets >> np.uint64(54)
+    ranges = sets >> np.uint64(64 - RANGES.bit_length() + 1)
     first = np.ones(len(sets), bool)
     first[1:] = ranges[1:] != ranges[:-1]
     first[at] = True
@@ -143,22 +143,37 @@ def with_signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURES_DDL)
 
 
-def _wanted(percent: int) -> F.Column:
-    """Whether two classes (columns of ``a`` and ``b``) may have the wanted similarity, by set sizes and bitmaps."""
-    s = percent / 100
+def _sizes_allow(percent: int) -> F.Column:
+    """Whether the sets of two classes (columns of ``a`` and ``b``) are near enough in size."""
     n_a, n_b = F.col("a.n"), F.col("b.n")
-    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    union = (n_a + n_b) / (1 + s)
-    ranges = RANGES * (1 - F.exp(union * float(np.log1p(-1 / RANGES))))
-    spread = 2 * F.sqrt(s * (1 - s) * ranges * F.greatest(1 - ranges / union, F.lit(0.0)))
-    apart = F.greatest(F.col("a.samples") + F.col("b.samples") - 2 * s * ranges, F.lit(0.0)) + MARGIN * spread + 2
-    odd = BITS / 2 * (1 - F.exp(-2 * apart / BITS))
-    doubt = F.sqrt(BITS / 4 * (1 - (1 + 4 * apart / BITS) * F.exp(-4 * apart / BITS)))
+    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+
+
+def _bitmaps_allow(percent: int) -> F.Column:
+    """Whether the bitmaps of two classes differ in few enough bits.
+
+    A pair that has just the wanted similarity s shares s of the ranges that its union fills (as many as usual for its
+    size, times how the two sets' own counts compare with the usual ones); the other samples differ. Their number strays by the draw of the samples (the less, the more of the sets is sampled), the bits by samples that
+    fall on one bit. Both are added as independent, and MARGIN times the root is allowed for.
+    """
+    s = percent / 100
+
+    def filled(n: F.Column) -> F.Column:
+        return RANGES * (1 - F.exp(n * float(np.log1p(-1 / RANGES))))
+
+    union = (F.col("a.n") + F.col("b.n")) / (1 + s)
+    samples = F.col("a.samples") + F.col("b.samples")
+    ranges = filled(union) * samples / (filled(F.col("a.n")) + filled(F.col("b.n")))
+    apart = F.greatest(samples - 2 * s * ranges, F.lit(0.0))
+    drawn = 4 * s * (1 - s) * ranges * F.greatest(1 - ranges / union, F.lit(0.0)) + 4
+    slope = F.exp(-2 * apart / BITS)
+    odd = BITS / 2 * (1 - slope)
+    fallen = BITS / 4 * (1 - (1 + 4 * apart / BITS) * slope * slope)
     seen = reduce(
         add,
         [F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(BITS // 64)],
     )
-    return sizes & (seen <= odd + MARGIN * doubt + 1)
+    return seen <= odd + MARGIN * F.sqrt(drawn * slope * slope + fallen) + 1
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -246,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     facts = classes.select("cls", "n", "samples", "sketch")
     likely = (
         spokes.join(facts.alias("a"), F.expr("x = a.cls")).join(facts.alias("b"), F.expr("y = b.cls"))
-        .where(_wanted(percent)).select("x", "y")
+        .where(_sizes_allow(percent) & _bitmaps_allow(percent)).select("x", "y")
     )
     likely = written(likely, "spokes")
     links = written(_confirmed(docs, classes, likely, percent), "links")
@@ -263,6 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_ones = placed.join(major, "bucket")
     open_ones = written(open_ones.join(classes.drop("doc_id"), "cls"), "open")
     a, b = open_ones.where("component != major").alias("a"), open_ones.alias("b")
+    # the first bucket that both share: a pair is compared there alone
     met_before = reduce(
         lambda found, i: F.when(F.col("a.bands")[i] == F.col("b.bands")[i], F.col("a.bands")[i]).otherwise(found),
         range(BANDS - 1, -1, -1),
@@ -272,8 +288,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         b,
         F.expr("a.bucket = b.bucket AND a.component != b.component")
         & F.expr("b.component = b.major OR a.cls < b.cls")
-        & _wanted(percent)
-        & (met_before == F.col("a.bucket")),
+        & _sizes_allow(percent)
+        & (met_before == F.col("a.bucket"))
+        & _bitmaps_allow(percent),
     ).select(F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y"))
     rest = written(rest.join(likely, ["x", "y"], "left_anti").distinct(), "rest")
     links = links.unionByName(_confirmed(docs, classes, rest, percent))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewise.llm import decontam, neardup, packing, quality, secrets, shards, toxicity
+from hedgewise.llm import decontam, licenses, neardup, packing, quality, quotes, secrets, shards, toxicity
 from hedgewise.plans import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,13 @@ def op9_convolutional(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_rare_licence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
