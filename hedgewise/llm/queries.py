@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewise.llm import decontam, licenses, neardup, packing, quality, quotes, secrets, shards, toxicity
+from hedgewise.llm import (
+    decontam,
+    html_extract,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    quotes,
+    secrets,
+    shards,
+    toxicity,
+)
 from hedgewise.plans import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +106,8 @@ def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_rare_licence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
