@@ -16,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hedgewise.llm.rows import fresh, without
 from hedgewise.llm.textscan import LOWER, SpanHasher, Texts, WORD_ALNUM, slices, spans
 from hedgewise.plans import scratch_path, written
 
@@ -271,3 +272,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: i
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without an exact occurrence of a window of an item; all columns."""
+    text = fresh(docs, "text_hash")
+    known = docs.withColumn(text, F.xxhash64("text"))
+    found = contamination(known.select(F.col(text).alias("doc_id"), "text"), items, near=0)
+    found = written(found.where("contaminated").select(F.col("doc_id").alias(text)).distinct(), "contaminated")
+    return without(known, found, [text]).select(docs.columns)

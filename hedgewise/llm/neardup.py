@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgewise.llm.components import components
+from hedgewise.llm.rows import fresh, without
 from hedgewise.llm.textscan import LOWER, PLACE, SpanHasher, Texts, WORD_BY_SPACE, mixed, slices, spans, windows
 from hedgewise.plans import written
 
@@ -42,6 +43,7 @@ _ODD = mixed(np.arange(5000, 5000 + BANDS * ROWS, dtype=np.uint64)).astype(np.ui
 SIGNATURES = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("n", pa.int64()),
         ("cls", pa.int64()),
         ("bands", pa.list_(pa.int64())),
@@ -49,7 +51,7 @@ SIGNATURES = pa.schema(
         ("sketch", pa.list_(pa.int64())),
     ]
 )
-SIGNATURES_DDL = "doc_id long, n long, cls long, bands array<long>, samples int, sketch array<long>"
+SIGNATURES_DDL = "doc_id long, text_hash long, n long, cls long, bands array<long>, samples int, sketch array<long>"
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +134,7 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                     bands, samples[full], sketch = signatures(sets, np.concatenate([bounds[:-1][full], bounds[-1:]]))
                 columns = [
                     batch.column(0).slice(texts.first, len(texts)),
+                    batch.column(2).slice(texts.first, len(texts)),
                     pa.array(n),
                     pa.array(class_ids(sets, bounds)),
                     _lists(bands, full),
@@ -140,7 +143,8 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.record_batch(columns, schema=SIGNATURES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURES_DDL)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, SIGNATURES_DDL)
 
 
 def _sizes_allow(percent: int) -> F.Column:
@@ -219,7 +223,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Each document's class and component under 100 * intersection >= percent * union of shingle sets.
 
-    Returns doc_id, n_shingles, cls, component_id (the smallest doc_id reachable, itself included), kept. A null or empty
+    Returns doc_id, text_hash, n_shingles, cls, component (its smallest class; null without shingles), component_id (the
+    smallest doc_id reachable, itself included), kept. A null or empty
     text, or one of white space, has no shingles and is linked with nothing. Repeated rows share a class. A null doc_id
     never names a component that has another id; where all are null, so is the component_id. Only doc_id and text are
     read. Two texts count as equal if the 64-bit hashes of their shingles do.
@@ -300,9 +305,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "cls", "doc_id", F.coalesce("component", "cls").alias("component")
     )
     lowest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(lowest, "component").select("cls", "component_id")
-    linked = signed.select("doc_id", "n", "cls").where("n > 0").join(of_class, "cls")
-    alone = signed.where("n = 0").select("doc_id", "n", "cls", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n", "cls", "component_id").unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "cls", "component_id", F.expr("doc_id <=> component_id").alias("kept")
+    of_class = of_class.join(lowest, "component").select("cls", "component", "component_id")
+    rows = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls")
+    linked = rows.where("n_shingles > 0").join(of_class, "cls")
+    alone = rows.where("n_shingles = 0").withColumns(
+        {"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}
     )
+    return linked.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each group of near duplicates, all columns: a row with the group's component_id.
+
+    Documents without words all stay. Of rows that agree in doc_id and text one stays.
+    """
+    text = fresh(docs, "text_hash")
+    known = docs.withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    found = near_duplicates(docs.select("doc_id", "text"), percent).where("component IS NOT NULL")
+    per_row = found.groupBy("doc_id", "text_hash").agg(
+        F.first("component").alias("component"), F.count(F.lit(1)).alias("rows")
+    )
+    per_row = written(per_row.withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")), "documents")
+    stays = per_row.groupBy("component").agg(F.min("key").alias("stays"))
+    judged = written(per_row.join(stays, "component").withColumn("stay", F.col("key") == F.col("stays")), "judged")
+    keys = ["doc_id", text]
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.col("text_hash").alias(text))
+
+    left = without(known, named(judged.where("NOT stay")), keys)
+    again = named(judged.where("stay AND rows > 1"))
+    if again.limit(1).count():
+        left = without(left, again, keys).unionByName(without(left, again, keys, "left_semi").dropDuplicates(keys))
+    return left.select(docs.columns)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,3 +287,53 @@ def findings(docs: DataFrame) -> DataFrame:
             )
 
     return scans.select("doc_id", "n_assign", "n_access", "n_hex", "spans", "open").mapInArrow(run, FINDINGS_DDL)
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """All documents and columns, each secret's span in the text replaced by ``mark``; touching spans become one.
+
+    ``n_chars``, where there is one, is the new text's. A null text stays null.
+    """
+    scans = written(scanned(docs.select("doc_id", "text")), "scans")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(scans))
+    place = docs.columns.index("text")
+    kind = docs.schema["text"].dataType
+
+    def cut(texts: Texts) -> list[bytes]:
+        found = [(a, b) for _, a, b in base_findings(texts)]
+        ends = sorted(found)
+        most = np.maximum.accumulate([b for _, b in ends]) if ends else []
+        starts = [a for a, _ in ends]
+        free = [
+            (a, b) for a, b in candidates(texts) if not (k := int(np.searchsorted(starts, b))) or most[k - 1] <= a
+        ]
+        scores = shared.value.scores([window(texts, a, b) for a, b in free])
+        found += [x for x, score in zip(free, scores, strict=True) if score >= 0.5]
+        raw, out = texts.data.tobytes(), []
+        by_text: dict[int, list[tuple[int, int]]] = {}
+        for a, b in sorted(found):
+            by_text.setdefault(int(np.searchsorted(texts.bounds, a, "right")) - 1, []).append((a, b))
+        for i in range(len(texts)):
+            at, end = int(texts.bounds[i]), int(texts.bounds[i + 1])
+            pieces, until = [], at
+            for a, b in by_text.get(i, ()):
+                if a >= until and (a > until or not pieces):
+                    pieces += [raw[until:a], mark.encode()]
+                until = max(until, b)
+            out.append(b"".join([*pieces, raw[until:end]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            new = pa.array([x for texts in slices(column) for x in cut(texts)], pa.binary()).cast(pa.string())
+            new = pa.compute.if_else(column.is_valid(), new, None)
+            columns = batch.columns
+            columns[place] = new
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    out = docs.withColumn("text", F.col("text").cast("string")) if kind.simpleString() != "string" else docs
+    out = out.mapInArrow(run, out.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

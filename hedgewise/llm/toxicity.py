@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from hedgewise.llm.convnet import ConvNet, Sequences, sigmoid
+from hedgewise.llm.rows import fresh
 from hedgewise.llm.textscan import LOWER, SpanHasher, Texts, WORD_ALNUM, mixed, run_totals, slices, spans
 from hedgewise.plans import written
 
@@ -136,22 +138,24 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(net, thresholds)
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """All columns of ``docs`` with ``toxic_score`` between 0 and 1; null and empty texts get the score of no words."""
+def scored(docs: DataFrame, model: Classifier, column: str) -> DataFrame:
+    """All columns of ``docs`` with a score between 0 and 1; null and empty texts get the score of no words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.scores(own) for own in slices(batch.column("text"))]
-            column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, SCORE])
+            scores = [shared.value.scores(own) for own in slices(batch.column(text))]
+            found = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
-    from pyspark.sql.types import DoubleType, StructType
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(SCORE, DoubleType()))
 
-
-SCORE = "toxic_score"
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier, learnt from the labelled ones among them, does not call toxic; all columns."""
+    score = fresh(docs, "toxic_score")
+    return scored(docs, fitted(docs, labels), score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,10 +166,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table gives no rows. No column but the text decides a score.
     """
     model = fitted(docs, labels)
-    rows = scored(docs.select("doc_id", "text"), model)
+    rows = scored(docs.select("doc_id", "text"), model, "score")
     return rows.select(
         "doc_id",
         (fold() == 0).alias("held_out"),
-        F.col(SCORE).alias("score"),
-        (F.col(SCORE) >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
