@@ -25,6 +25,8 @@ from hedgewise.plans import keyed_join, written
 
 #: Share of a host's pages that must repeat a text at a node for it to be template, and the pages it takes to tell.
 REPEATED, LEAST_PAGES = 0.6, 4
+#: Share of the text at hand that a child must have to be gone into: one that calls itself the content, and any other.
+NAMED_SHARE, CONTENT_SHARE = 0.1, 0.7
 #: Texts that a node's summary holds; any that over one in so many pages repeat is among them.
 SUMMARY = 32
 #: A wrapper beyond so many nodes drops those that less than one page in fifty has; they cannot be template.
@@ -69,7 +71,12 @@ NAMED = set(
 HEADER = {"header", "head", "topbar", "top"}
 WHOLE = {"article", "main", "content", "post", "entry", "story"}
 
-TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: A comment's or declaration's start, or a tag. Quoted values may be of any length, those with angle brackets up to 120
+#: characters, so that an unclosed quotation is given up soon; what remains is a tag up to its next angle bracket, or text.
+TOKEN = re.compile(
+    r"""<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)"""
+    r"""((?>[^<>"']++|"[^"<>]*+"|'[^'<>]*+'|"[^"]{0,120}+"|'[^']{0,120}+'){0,60}+|[^<>]*)>"""
+)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -138,8 +145,10 @@ def parsed(page: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag == "br" or tag == "hr":
+        if tag == "br":
             text(" ")
+        elif tag == "hr":
+            stack[-1].children.append(Node("hr", "hr"))
         if tag in VOID:
             continue
         if tag not in BLOCK:
@@ -305,12 +314,11 @@ def decided(whole: list) -> tuple[str, list[int]]:
     node, path = whole, whole[KEY]
     while True:
         total = chars(node)
-        best = max(node[CHILDREN], key=chars, default=None)
-        if best is None or best[KEY].split(".")[0] not in CONTAINERS:
-            break
+        options = [c for c in node[CHILDREN] if c[KEY].split(".")[0] in CONTAINERS]
+        named = [c for c in options if WHOLE & set(c[KEY].split(".")) and chars(c) >= NAMED_SHARE * total]
         headed = any(c[KEY].split(".")[0] in ("h1", "h2") for c in node[CHILDREN])
-        named = best[KEY].split(".")[0] in ("article", "main")
-        if chars(best) < (0.3 if named else 0.7) * total or (headed and not named):
+        best = max(named or options, key=chars, default=None)
+        if best is None or (not named and (headed or chars(best) < CONTENT_SHARE * total)):
             break
         node, path = best, f"{path}>{best[KEY]}"
         if node[KEY].split(".")[0] == "article":

@@ -1,9 +1,10 @@
 """Secret scans: base rules, and a character convolutional network over every candidate and its surroundings.
 
 Candidates are long tokens that mix letters and digits. The network sees a candidate's characters with those before and
-after it. It is trained on labelled findings: what the base rules find is labelled 1, other candidates and tokens that
-hold digits (numbers, addresses, versions) 0. Its logits are calibrated on findings that training has not seen, and the
-threshold is the highest that keeps the wanted recall there.
+after it. It is trained on labelled findings: what the base rules find is labelled 1; tokens with digits that are no
+candidates (numbers, addresses, versions), and candidates made of plain words, 0; other candidates have no label. Its
+logits are calibrated on findings that training has not seen, and the threshold is the highest that keeps the wanted
+recall there.
 """
 
 from __future__ import annotations
@@ -109,6 +110,12 @@ def plain_tokens(texts: Texts) -> list[tuple[int, int]]:
     return [(int(start[i]), int(end[i])) for i in np.flatnonzero(digits).tolist()]
 
 
+def is_name(token: bytes) -> bool:
+    """Whether at least half of a token is parts of three letters or more and nothing else, as in host and file names."""
+    parts = re.split(rb"[^0-9A-Za-z]+", token)
+    return 2 * sum(len(p) for p in parts if len(p) >= 3 and p.isalpha()) >= len(token)
+
+
 def window(texts: Texts, start: int, end: int) -> bytes:
     """A candidate's bytes with those around it, in BEFORE + INSIDE + AFTER places; 0 where there is none."""
     k = int(np.searchsorted(texts.bounds, start, "right")) - 1
@@ -152,7 +159,7 @@ SCAN = pa.schema(
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One row per document: base spans in code points, their windows, the candidates outside them, and other tokens."""
+    """One row per document: base spans in code points, their windows, the candidates outside them, and what is labelled 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +191,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                 own = {x for x in candidates(texts) if free(*x)}
                 for a, b in sorted(own):
                     k = text_of(a)
-                    rows[k][2].append(points(k, a, b) | {"window": window(texts, a, b)})
+                    seen = window(texts, a, b)
+                    rows[k][2].append(points(k, a, b) | {"window": seen})
+                    if is_name(texts.data[a:b].tobytes()):
+                        rows[k][3].append(seen)
                 for a, b in plain_tokens(texts):
                     if free(a, b) and (a, b) not in own:
                         rows[text_of(a)][3].append(window(texts, a, b))
@@ -220,7 +230,7 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
 def fitted(scans: DataFrame) -> Detector:
     """Train on at most SAMPLE findings of each label, found anywhere in the corpus; without both labels nothing is added."""
     labelled = scans.select(F.explode("found").alias("window"), F.lit(1).alias("secret")).unionByName(
-        scans.select(F.explode(F.concat(F.expr("transform(open, x -> x.window)"), "others")).alias("window"), F.lit(0).alias("secret"))
+        scans.select(F.explode("others").alias("window"), F.lit(0).alias("secret"))
     )
     labelled = labelled.groupBy("secret", "window").agg(F.count(F.lit(1)).alias("n"))
     part = F.xxhash64("window")
