@@ -111,3 +111,6 @@ def op10_rare_licence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+from hedgewise.llm import oracles  # noqa: E402, F401  adds to ORACLES
