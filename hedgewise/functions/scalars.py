@@ -35,9 +35,10 @@ def kilometres(metres: Column) -> Column:
 
 
 def years(raw: Column) -> Column:
-    """Leading integer of a text, 0 when there is none."""
-    leading = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1).try_cast("double")
-    return F.least(F.greatest(F.coalesce(leading, F.lit(0.0)), F.lit(-1e9)), F.lit(1e9)).cast("int")
+    """Leading integer of a text, 0 when there is none; beyond 64 bits the nearest 64-bit number."""
+    leading = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1)
+    beyond = F.when(leading.startswith("-"), F.lit(-(2**63))).when(leading != "", F.lit(2**63 - 1))
+    return F.coalesce(leading.try_cast("bigint"), beyond, F.lit(0)).cast("bigint")
 
 
 def layer_ref(layer: str, number: Column) -> Column:
@@ -55,7 +56,7 @@ def significant(value: Column) -> Column:
 
     The value is scaled to a 15-digit whole number in two doubles (product and its exact
     error, by splitting the factors), so the rounding sees the exact value and not its
-    shortest decimal. Values outside 1e-8..1e15 stay as they are. The one-element arrays
+    shortest decimal. Values outside 1e-8..1e15, which the scaling would not hold, are rounded by their decimal text. The one-element arrays
     name the intermediate results, each of which the next step reads several times.
     """
 
@@ -85,7 +86,12 @@ def significant(value: Column) -> Column:
         steps = F.transform(steps, step)
     trimmed_value = F.get(steps, F.lit(0))
     inside = (F.abs(value) >= 1e-8) & (F.abs(value) < 1e15)
-    return F.when(inside, F.when(value < 0, -trimmed_value).otherwise(trimmed_value)).otherwise(value)
+    plain = F.isnan(value) | (F.abs(value) == F.lit(float("inf"))) | (value == 0)
+    by_text = F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value).try_cast("double")
+    return (
+        F.when(inside, F.when(value < 0, -trimmed_value).otherwise(trimmed_value))
+        .when(plain, value).otherwise(by_text)
+    )
 
 
 def is_finite(value: Column) -> Column:

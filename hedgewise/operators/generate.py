@@ -43,11 +43,6 @@ def scenario_seed(seed: Column | int, scenario_id: Column) -> Column:
     return F.xxhash64(seed, scenario_id)
 
 
-def batch_seed(seed: int, index: Column) -> Column:
-    """Seed of the index-th item (1-based) of a batch."""
-    return F.lit(seed) + index - 1
-
-
 def layer_sizes(parcels: Column) -> dict[str, Column]:
     """How many features of each other layer a site of so many parcels gets."""
     return {

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgewise.functions.scalars import gain_cell, rounded_ms
+from hedgewise.plans import keyed_join
 
 P95 = 0.95
 
@@ -54,12 +55,11 @@ def exact_percentile(
 def sample_summary(samples: DataFrame, label: str = "label", elapsed: str = "elapsed_ms", ok: str = "success") -> DataFrame:
     """Samples, errors, mean, 95th percentile and verdict per label, and a row of totals.
 
-    The row of totals has a NULL label.
+    The row of totals has a NULL label; samples without a label have a row of their own, with a NULL label too.
     """
-    both = samples.select(
-        F.explode(F.array(F.col(label), F.lit(None).cast("string"))).alias("label"),
-        F.col(elapsed).alias("elapsed"),
-    ).withColumn("key", F.coalesce("label", F.lit("")))
+    # told apart by a key that no label can be mistaken for another's
+    own = F.coalesce(F.concat(F.lit("label "), F.col(label)), F.lit("none"))
+    both = samples.select(F.explode(F.array(own, F.lit("all"))).alias("key"), F.col(elapsed).alias("elapsed"))
     p95 = exact_percentile(both, ["key"], "elapsed", P95, "p95_ms")
     stats = (
         samples.rollup(F.col(label).alias("label"))
@@ -67,8 +67,9 @@ def sample_summary(samples: DataFrame, label: str = "label", elapsed: str = "ela
             F.count(F.lit(1)).alias("samples"),
             F.count_if(~F.col(ok)).alias("errors"),
             F.avg(elapsed).alias("mean_ms"),
+            F.grouping_id().alias("total"),
         )
-        .withColumn("key", F.coalesce("label", F.lit("")))
+        .withColumn("key", F.when(F.col("total") == 1, "all").otherwise(F.coalesce(F.concat(F.lit("label "), "label"), F.lit("none"))))
     )
     verdict = F.when(F.col("errors") == 0, "PASS").otherwise(
         F.format_string("FAIL (%d/%d)", "errors", "samples")
@@ -80,10 +81,14 @@ def sample_summary(samples: DataFrame, label: str = "label", elapsed: str = "ela
 
 
 def corpus_counts(features: DataFrame) -> DataFrame:
-    """Rows per site, layer and retention with subtotals per layer and per site."""
-    return features.rollup("site_id", "layer", "retention").agg(F.count(F.lit(1)).alias("rows")).where(
-        F.col("site_id").isNotNull()
+    """Rows per site, layer and retention with subtotals per layer and per site.
+
+    ``subtotal`` is 0 for a count of one retention (NULL where features have none), 1 per layer, 3 per site.
+    """
+    counts = features.rollup("site_id", "layer", "retention").agg(
+        F.count(F.lit(1)).alias("rows"), F.grouping_id().cast("int").alias("subtotal")
     )
+    return counts.where("subtotal < 7")
 
 
 def purposes(scenarios: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def catalogue_listing(scenarios: DataFrame, width: int = 34) -> DataFrame:
     """Catalogue lines grouped by purpose, in catalogue order, with the count per purpose."""
     order = purposes(scenarios)
     sizes = scenarios.groupBy("purpose").agg(F.count(F.lit(1)).alias("in_purpose"))
-    lines = scenarios.join(order, "purpose").join(sizes, "purpose")
+    lines = keyed_join(scenarios, order.join(sizes, "purpose"), ["purpose"], "inner")
     # Padding must not shorten a longer id, so the pad is appended only where it is needed.
     padded = F.concat("id", F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length("id"))))
     return lines.select(
@@ -115,6 +120,7 @@ def index_lines(entries: DataFrame) -> DataFrame:
     ``entries`` has the manifest's fields and ``scenario_no``. Section 0 is the head; each
     purpose is a section of its own, and no section is gathered into one value.
     """
+    # The headings and layout of the index's sections.
     sections = purposes(entries).select("purpose", (F.col("purpose_no") + 1).alias("section_no"))
     totals = entries.agg(
         F.count(F.lit(1)).alias("scenarios"), F.countDistinct("purpose").alias("purposes")
@@ -122,7 +128,7 @@ def index_lines(entries: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("section_no"),
         F.posexplode(
             F.array(
-                F.lit("# Permutations test data"),
+                F.lit("# Scenario catalogue"),
                 F.lit(""),
                 F.format_string("Total scenarios: **%d** across **%d** purposes.", "scenarios", "purposes"),
                 F.lit(""),
@@ -148,11 +154,12 @@ def index_lines(entries: DataFrame) -> DataFrame:
         F.col("subject.ref"), F.lit(" — "), F.col("subject.note"), F.lit(" | "),
         gain_cell(F.col("gain.expected"), F.col("gain.percentage")), F.lit(" | "), files, F.lit(" |"),
     )
-    body = entries.join(sections, "purpose").select(
+    body = keyed_join(entries, sections, ["purpose"], "inner").select(
         "section_no", (F.col("scenario_no") + 4).cast("long").alias("line_no"), row.alias("line")
     )
+    ends = body.groupBy("section_no").agg((F.max("line_no") + 1).alias("line_no"), F.lit("").alias("line"))
     head = totals.unionByName(heads).withColumn("line_no", F.col("line_no").cast("long"))
-    return head.unionByName(body)
+    return head.unionByName(body).unionByName(ends)
 
 
 def missing_subjects(entries: DataFrame, features: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from hedgewise.operators.violations import SITE, union, violation
 from hedgewise.schema import LAYER_TABLES
 
 SHAPES, READABLE, LEGAL = "shapes", "readable", "legal_shapes"
-MAX_REPORTED_PARCELS = 50
 
 AREAL = ("POLYGON", "MULTIPOLYGON")
 LINEAR = ("LINESTRING", "MULTILINESTRING")
@@ -90,22 +89,16 @@ def shape_rules(sites: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def legal_shape_rules(features: DataFrame) -> DataFrame:
-    """The boundary's first fault, and every illegal parcel up to the report's fifty.
-
-    The filter on the row number lets Spark keep only the first rows per site before
-    the shuffle, so a site with very many faults stays cheap.
-    """
+    """Every illegal boundary and parcel with its fault."""
     faulty = features.where(F.col("fault").isNotNull() & F.col("layer").isin(REDLINE, HABITATS))
-    order = Window.partitionBy(*SITE).orderBy("feature_ref", "fault")
+    code = F.when(F.col("layer") == REDLINE, "REDLINE_INVALID_GEOMETRY").otherwise("AREA_PARCELS_INVALID_GEOMETRY")
+    return violation(faulty, LEGAL, code, F.col("layer"), F.col("feature_ref"), F.col("fault"))
 
-    def first(layer: str, count: int, code: str) -> DataFrame:
-        rows = faulty.where(F.col("layer") == layer).select(*SITE, "layer", "feature_ref", "fault")
-        rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count)
-        return violation(rows, LEGAL, code, F.col("layer"), F.col("feature_ref"), F.col("fault"))
 
-    return union(
-        [
-            first(REDLINE, 1, "REDLINE_INVALID_GEOMETRY"),
-            first(HABITATS, MAX_REPORTED_PARCELS, "AREA_PARCELS_INVALID_GEOMETRY"),
-        ]
-    )
+def reported(violations: DataFrame, per_code: int) -> DataFrame:
+    """A report's view: the first ``per_code`` features of each site and code.
+
+    The filter on the row number lets Spark keep only the first rows per site before the shuffle.
+    """
+    order = Window.partitionBy(*SITE, "code").orderBy("feature_ref", "detail")
+    return violations.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_code).drop("nth")

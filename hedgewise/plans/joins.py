@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
+# Bytes in memory for each byte that the optimizer expects.
+PACKED = 4
+
 # A key is "hot" when it holds more than 1/HOT_SHARE of the rows, so there can be
 # at most HOT_SHARE hot keys however large the data is.
 HOT_SHARE = 1000
@@ -17,15 +22,18 @@ HOT_SHARE = 1000
 def fits_in_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Whether the optimizer's size estimate for ``df`` is within the broadcast bound.
 
-    The estimate is an upper-biased one (file sizes, product of join inputs), so a
-    table only passes when it is known to be small.
+    Estimates start from file sizes, which compression makes too small, and ignore that ``explode`` adds rows, so they
+    count PACKED times.
     """
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
+    return PACKED * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding more than 1/HOT_SHARE of all rows, with the number of parts to cut each into."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    """Keys holding more than 1/HOT_SHARE of all rows, with the number of parts to cut each into.
+
+    Keys with a NULL match nothing and are not among them.
+    """
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     total = counts.agg(F.sum("rows").alias("rows")).scalar()
     return counts.where(F.col("rows") * HOT_SHARE > total).select(
         *keys, F.ceil(F.col("rows") * HOT_SHARE / total).cast("int").alias("parts")
@@ -43,16 +51,20 @@ def keyed_join(
 
     ``one`` is broadcast when its size is within bounds. Otherwise rows of the hot keys
     are dealt over several parts by a hash of the row, and the matching rows of ``one``
-    are copied once per part; all other keys take part 0 only.
+    are copied once per part; all other keys take part 0 only. Rows with a NULL in a key match nothing and are dealt over
+    HOT_SHARE parts. A stream is joined plainly: it cannot be counted, and its batches are small.
     """
     keys = list(keys)
+    if many.isStreaming:
+        return many.join(one, keys, how)
     if fits_in_broadcast(one, max_bytes):
         return many.join(F.broadcast(one), keys, how)
     hot = F.broadcast(hot_keys(many, keys))
     others = [F.col(c) for c in many.columns if c not in keys] or [F.lit(0)]
     dealt = (
         many.join(hot, keys, "left")
-        .withColumn("part", F.pmod(F.xxhash64(*others), F.coalesce("parts", F.lit(1))).cast("int"))
+        .withColumn("parts", F.when(reduce(or_, [F.col(k).isNull() for k in keys]), HOT_SHARE).otherwise(F.coalesce("parts", F.lit(1))))
+        .withColumn("part", F.pmod(F.xxhash64(*others), "parts").cast("int"))
         .drop("parts")
     )
     copied = (

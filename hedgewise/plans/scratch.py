@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a fresh local one only where unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a fresh local one, but only if Spark runs locally: on a
+    cluster every machine would write to a folder of its own, so the setting is asked for."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="hedgewise-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

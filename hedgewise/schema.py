@@ -26,14 +26,7 @@ PROPOSED_COLUMNS = {
 RETENTION = "retention"
 REF_COLUMNS = {"habitats": "parcel_ref", "hedgerows": "parcel_ref", "rivers": "parcel_ref", "trees": "tree_ref"}
 
-# Declared shape per layer and the coordinate system all must be in.
-GEOMETRY_TYPES = {
-    "Red Line Boundary": "POLYGON",
-    "Habitats": "MULTIPOLYGON",
-    "Hedgerows": "LINESTRING",
-    "Rivers": "LINESTRING",
-    "Urban Trees": "POINT",
-}
+# The layers every file must have and the coordinate system all must be in.
 REQUIRED_LAYERS = ("Red Line Boundary", "Habitats")
 NATIONAL_GRID_SRID = 27700
 

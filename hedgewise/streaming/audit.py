@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hedgewise.plans import keyed_join
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -14,18 +17,29 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def once_per_event(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Events without repeats of an id; state is dropped once a repeat is older than ``delay``."""
-    return (
-        events.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .withColumn("event_date", F.to_date("ts"))
-    )
+def unseen(batch: DataFrame, path: str) -> DataFrame:
+    """A batch's events, each id once, without those that the lake holds under the same date.
+
+    Only the dates that the batch touches are read. Events may come as late as they like, and a batch that is run again
+    finds its own events and adds none.
+    """
+    events = batch.dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("ts"))
+    try:
+        lake = batch.sparkSession.read.schema(events.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return events
+    dates = events.select("event_date").distinct()
+    held = lake.select("event_id", "event_date").join(F.broadcast(dates), "event_date", "left_semi")  # a row per day
+    return keyed_join(events, held, ["event_id", "event_date"], "left_anti")
 
 
 def append_to_lake(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write to Parquet partitioned by date; source offsets and sink log make it exactly once."""
-    writer = events.writeStream.format("parquet").partitionBy("event_date").option("path", path).option(
-        "checkpointLocation", checkpoint
-    )
+    """Write each event id once to Parquet partitioned by date. An event's date is its day in the session's time zone."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        unseen(batch, path).write.mode("append").partitionBy("event_date").parquet(path)
+
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hedgewise.operators.lookups import AREA, Lookups
@@ -11,7 +10,7 @@ from hedgewise.operators.pricing import price
 
 
 def price_stream(parcels: DataFrame, lookups: Lookups, kind: str = AREA) -> DataFrame:
-    """Stateless: every row is priced by broadcast joins alone."""
+    """Stateless: every row is priced by joins with static tables, broadcast where they are small."""
     return price(parcels, lookups, kind)
 
 
@@ -22,22 +21,3 @@ def write_priced(priced: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True).start()
     )
 
-
-def running_totals(priced: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Totals over all parcels seen so far, kept complete in the table ``name``."""
-    before, after = F.col("before"), F.col("after")
-    both = before.isNotNull() & after.isNotNull()
-    totals = (
-        priced.select(F.col("retention"), F.col("base_price.units").alias("before"), F.col("post_price.units").alias("after"))
-        .groupBy("retention")
-        .agg(
-            F.sum(F.when(both, before)).alias("baseline_units"),
-            F.sum(F.when(both, after)).alias("post_units"),
-            F.count_if(both).alias("priced"),
-            F.count_if(~both).alias("skipped"),
-        )
-    )
-    return (
-        totals.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

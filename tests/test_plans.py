@@ -1,5 +1,6 @@
 """Skew-safe joins, numbering, trimming and percentiles against plain equivalents."""
 
+import datetime
 import random
 
 import numpy as np
@@ -7,8 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hedgewise.functions import reproject, scalars
+from hedgewise.operators import reporting
 from hedgewise.operators.reporting import exact_percentile
-from hedgewise.plans import keyed_join, literal_table, numbered
+from hedgewise.operators.validate import fit_to_compare
+from hedgewise.plans import keyed_join, literal_table, numbered, scratch_path
+from hedgewise.streaming import audit
 
 
 def skewed(spark, rows=6000):
@@ -30,6 +34,43 @@ def test_keyed_join_beyond_broadcast(spark):
         )
 
 
+def test_keyed_join_with_null_keys(spark):
+    many = skewed(spark).withColumn("site_id", F.when(F.col("b") % 2 == 0, F.col("site_id")))
+    one = spark.range(500).select(F.when(F.col("id") > 3, F.col("id")).alias("site_id"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        salted, plain = keyed_join(many, one, ["site_id"], how, max_bytes=-1), many.join(one, ["site_id"], how)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_faults_take_out_their_feature_and_unreadable_rows_their_layer(spark):
+    names = "site_id string, stage string, layer string, feature_ref string, status string, fault string"
+    rows = [
+        ("a", "s", "Habitats", "1", "ok", None), ("a", "s", "Habitats", "2", "ok", "SELF_CROSSING"),
+        ("a", "s", "Hedgerows", "3", "unreadable", None), ("a", "s", "Hedgerows", "4", "ok", None),
+        ("b", "s", "Hedgerows", "5", "ok", None),
+    ]
+    kept = fit_to_compare(spark.createDataFrame(rows, names))
+    assert {r.feature_ref for r in kept.collect()} == {"1", "5"}
+
+
+def test_late_and_repeated_events_reach_the_lake_once(spark):
+    lake = scratch_path(spark, "lake")
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 20), 1, "x", 1.0, None) for i in range(40)]
+    batch = spark.createDataFrame(rows, audit.EVENT_SCHEMA)
+    for part in (batch.where("event_id > 9"), batch.where("event_id < 20"), batch):  # ever later, and once more
+        audit.unseen(part, lake).write.mode("append").partitionBy("event_date").parquet(lake)
+    assert sorted(r.event_id for r in spark.read.parquet(lake).collect()) == list(range(40))
+
+
+def test_summary_tells_empty_labels_from_totals(spark):
+    rows = [("", 10.0, True), ("b", 20.5, True), (None, 30.25, False)]
+    found = reporting.sample_summary(spark.createDataFrame(rows, "label string, elapsed_ms double, success boolean")).collect()
+    assert sorted((str(r.label), r.samples, round(r.p95_ms, 3)) for r in found) == [
+        ("", 1, 10.0), ("None", 1, 30.25), ("None", 3, 29.275), ("b", 1, 20.5),
+    ]
+
+
 def test_numbered_matches_row_number(spark):
     rows = skewed(spark)
     ours = numbered(
@@ -58,7 +99,7 @@ def test_percentile_of_a_hot_label(spark):
 def test_years_and_labels(spark):
     texts = ["5 yrs", "30+", "", None, " -3x", "x4", "99999999999999999999"]
     rows = literal_table(spark, "n int, t string", list(enumerate(texts)))
-    assert [r.y for r in rows.orderBy("n").select(scalars.years(F.col("t")).alias("y")).collect()] == [5, 30, 0, 0, -3, 0, 10**9]
+    assert [r.y for r in rows.orderBy("n").select(scalars.years(F.col("t")).alias("y")).collect()] == [5, 30, 0, 0, -3, 0, 2**63 - 1]
     labels = literal_table(spark, "v double", [(293.008,), (None,), (0.0,)]).select(scalars.percentage_label(F.col("v")).alias("l"))
     assert {r.l for r in labels.collect()} == {"293.0%", "n/a", "0.0%"}
 

@@ -80,7 +80,8 @@ def generated_corpus_counts(spark, folder):
 @query(
     "corpus_counts",
     f"""WITH {q.PARCELS}, f AS (SELECT site_id, CASE WHEN l_linenumber < 5 THEN 'Habitats' ELSE 'Hedgerows' END AS layer, retention FROM parcels)
-SELECT site_id, layer, retention, count(*) AS rows FROM f GROUP BY ROLLUP (site_id, layer, retention) HAVING site_id IS NOT NULL""",
+SELECT site_id, layer, retention, count(*) AS rows, CAST(grouping(site_id, layer, retention) AS INTEGER) AS subtotal
+FROM f GROUP BY ROLLUP (site_id, layer, retention) HAVING grouping(site_id, layer, retention) < 7""",
 )
 def corpus_counts(spark, folder):
     rows = t.parcels(spark, folder).withColumn(
@@ -313,7 +314,7 @@ def manifest_round_trip(spark, folder):
 @query(
     "manifest_index",
     f"""WITH {SCENARIOS}, o AS (SELECT purpose, min(scenario_no) + 1 AS section_no FROM scn GROUP BY 1)
-SELECT CAST(0 AS BIGINT) AS section_no, CAST(k AS BIGINT) AS line_no, (['# Permutations test data', '',
+SELECT CAST(0 AS BIGINT) AS section_no, CAST(k AS BIGINT) AS line_no, (['# Scenario catalogue', '',
     'Total scenarios: **' || (SELECT count(*) FROM scn) || '** across **' || (SELECT count(*) FROM o) || '** purposes.', ''])[k + 1] AS line
   FROM (VALUES (0), (1), (2), (3)) AS v(k)
 UNION ALL SELECT section_no, k, (['## ' || purpose, '', '| Scenario | Subject | Net gain | Files |', '| --- | --- | --- | --- |'])[k + 1]
@@ -322,7 +323,8 @@ UNION ALL SELECT section_no, scenario_no + 4, '| **' || title || '**<br>' || des
     || CASE WHEN scenario_no % 17 = 0 THEN '099' ELSE '001' END || ' — a subject | '
     || CASE expected WHEN 'met' THEN 'met (293.0%)' WHEN 'unmet' THEN 'unmet (0.0%)' ELSE '—' END || ' | `' || f || '-baseline.gpkg` · `' || f || '-post-intervention.gpkg` |'
   FROM (SELECT *, purpose || '/' || CASE WHEN starts_with(id, purpose || '-') THEN substr(id, length(purpose) + 2) ELSE id END AS f FROM scn) s
-  JOIN o ON o.purpose = s.purpose""",
+  JOIN o ON o.purpose = s.purpose
+UNION ALL SELECT section_no, max(scenario_no) + 5, '' FROM scn JOIN o ON o.purpose = scn.purpose GROUP BY 1""",
 )
 def manifest_index(spark, folder):
     return rep.index_lines(plain_entries(spark, folder))

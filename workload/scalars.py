@@ -38,14 +38,22 @@ def parcel_scalars(spark, folder):
 
 @query(
     "significant_figures",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CAST(printf('%.14e', l_extendedprice * l_discount / 7.0) AS DOUBLE) AS trimmed FROM lineitem""",
+    """WITH v AS (SELECT *, l_extendedprice * l_discount / 7.0 * ([1.0, 1e-13, 1e13])[CAST(l_partkey % 3 AS INTEGER) + 1] AS value FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN CAST(printf('%.14e', value) AS DOUBLE) END AS trimmed,
+  abs(CAST(printf('%.14e', value) AS DOUBLE) - value) <= abs(value) * 1e-14 AS near, l_partkey % 3 <> 0 OR NULL AS far FROM v""",
 )
 def significant_figures(spark, folder):
-    value = F.col("l_extendedprice") * F.col("l_discount") / 7.0
+    value = F.col("l_extendedprice") * F.col("l_discount") / 7.0 * t.pick([1.0, 1e-13, 1e13], F.col("l_partkey") % 3)
     rows = t.load(spark, folder, "lineitem").withColumn("value", value)
+    rows = rows.withColumn("trimmed", sc.significant(F.col("value")))
+    # far from 1, halves may fall the other way than in the exact binary value, so there only the distance is compared,
+    # and that a second rounding changes nothing
+    far = F.col("l_partkey") % 3 != 0
     return rows.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sc.significant(F.col("value")).alias("trimmed")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(~far, F.col("trimmed")).alias("trimmed"),
+        (F.abs(F.col("trimmed") - F.col("value")) <= F.abs("value") * 1e-14).alias("near"),
+        F.when(far, sc.significant(F.col("trimmed")) == F.col("trimmed")).alias("far"),
     )
 
 

@@ -214,12 +214,14 @@ def file_metadata_faults(spark, folder):
     """SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS event_date FROM events""",
 )
 def audit_events_once(spark, folder):
-    """Events landing in files, some of them twice, appended to the lake once each."""
+    """Events landing in files over several triggers, some late and some twice, appended to the lake once each."""
     landing, lake, mark = (scratch_path(spark, n) for n in ("landing", "lake", "mark"))
     events = t.load(spark, folder, "events")
-    events.unionByName(events.where("event_id % 10 = 0")).write.parquet(landing)
-    stream = audit.once_per_event(audit.read_events(spark, landing), delay="3650 days")
-    audit.append_to_lake(stream, lake, mark).awaitTermination()
+    # files land in turn; repeats and every seventh event come with the last ones, however old they are
+    late = F.when(F.col("event_id") % 7 == 0, 3).otherwise(F.col("event_id") % 3)
+    landed = events.withColumn("turn", late).unionByName(events.where("event_id % 10 = 0").withColumn("turn", F.lit(3)))
+    landed.repartitionByRange(4, "turn").drop("turn").write.parquet(landing)
+    audit.append_to_lake(audit.read_events(spark, landing, files_per_trigger=1), lake, mark).awaitTermination()
     return spark.read.parquet(lake).select(
         "event_id", "user_id", "event_type", "value", F.date_format("event_date", "yyyy-MM-dd").alias("event_date")
     )

@@ -419,7 +419,8 @@ def illegal_shapes(spark, folder):
         *[F.substring(g.point_wkb(x, F.lit(y)), 6, 16) for x, y in ((x0, 0.0), (x1, 50.0), (x1, 0.0), (x0, 50.0), (x0, 0.0))],
     )
     shaped = rows.withColumn("geometry", F.when(F.col("l_quantity") % 3 == 0, bow).otherwise(F.col("geometry")))
-    return sr.legal_shape_rules(sr.with_facts(shaped)).select("site_id", "code", "feature_ref")
+    found = sr.reported(sr.legal_shape_rules(sr.with_facts(shaped)), per_code=50)
+    return found.select("site_id", "code", "feature_ref")
 
 
 @query(
