@@ -3,6 +3,6 @@
 from hedgewise.plans.joins import fits_in_broadcast, keyed_join
 from hedgewise.plans.numbering import numbered
 from hedgewise.plans.scratch import scratch_path, written
-from hedgewise.plans.tables import literal_table, widened
+from hedgewise.plans.tables import literal_table
 
-__all__ = ["fits_in_broadcast", "keyed_join", "literal_table", "numbered", "scratch_path", "widened", "written"]
+__all__ = ["fits_in_broadcast", "keyed_join", "literal_table", "numbered", "scratch_path", "written"]

@@ -34,13 +34,3 @@ def literal_table(spark: SparkSession, schema: str, rows: Iterable[Sequence]) ->
         return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({aliases})")
     nulls = ", ".join("NULL" for _ in fields)
     return spark.sql(f"SELECT {casts} FROM VALUES ({nulls}) AS t({aliases}) WHERE false")
-
-
-def widened(df: DataFrame) -> DataFrame:
-    """A table stored in fewer splits than there are cores, dealt out evenly over them.
-
-    Large tables have more splits than cores and are returned as they are, so this never
-    shuffles them; it only keeps a small single-file table from running in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
