@@ -105,14 +105,24 @@ class ConvNet:
         rows = ids[touched].ravel()
         return g, rows, np.repeat(de[touched], ids.shape[1], axis=0)
 
-    def fit(self, seqs: Sequences, y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.05, seed: int = 7) -> None:
-        """Adagrad over shuffled batches; both labels weigh the same in all."""
+    def fit(
+        self,
+        seqs: Sequences,
+        y: np.ndarray,
+        which: np.ndarray | None = None,
+        epochs: int = 12,
+        batch: int = 32,
+        rate: float = 0.05,
+        seed: int = 7,
+    ) -> None:
+        """Adagrad over shuffled batches of the sequences ``which`` (all); both labels weigh the same in all."""
         rng = np.random.default_rng(seed)
-        share = max(1, y.sum()) / len(y)
+        which = np.arange(len(y)) if which is None else which
+        share = max(1, y[which].sum()) / len(which)
         weight = np.where(y > 0, 0.5 / share, 0.5 / max(1e-9, 1 - share)).astype(np.float32)
         sums = {k: np.full(v.shape, 1e-3, np.float32) for k, v in self.w.items()}
         for epoch in range(epochs):
-            order = rng.permutation(len(y))
+            order = rng.permutation(which)
             step = rate * (1 - epoch / epochs)
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]

@@ -8,10 +8,12 @@ that its threshold is one half.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -27,8 +29,9 @@ SAMPLE = 3000
 SAMPLE_WORDS = 3000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 16
 PREFIXES = (5, 6, 7)
-#: Calibration documents with and without the label that a language needs for a threshold of its own.
-LEAST_CALIBRATED = 15
+#: Calibration documents with and without the label that a language needs for a threshold of its own, and with how many
+#: toxic ones the threshold of all languages counts as much as its own.
+LEAST_CALIBRATED, SHARED = 4, 6
 
 # Common words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -115,26 +118,44 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
                     names=["doc_id", "toxic", "fold", "language", "ids"],
                 )
 
-    rows = (
-        texts.select("text", "doc_id", F.col("toxic").cast("int"), F.col("fold").cast("int"))
-        .mapInArrow(run, "doc_id long, toxic int, fold int, language long, ids binary")
-        .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = texts.select("text", "doc_id", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(
+        run, "doc_id long, toxic int, fold int, language long, ids binary"
     )
+    # the sample is bounded, so one task trains on it and hands back the weights; the driver never holds the sample
+    found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_trained, "model binary").collect()
+    return pickle.loads(found[0].model) if found else Classifier(ConvNet(2, 1, (1,), 1), np.full(len(LANGUAGES), 30.0))
+
+
+def _trained(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("doc_id")
+    first = np.append(True, np.diff(rows["doc_id"].to_numpy()) != 0)
+    rows = rows.filter(pa.array(first))
     y, part, language = (rows[c].to_numpy() for c in ("toxic", "fold", "language"))
-    found = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2 + len(PREFIXES)) for x in rows["ids"]]
+    sizes = pc.binary_length(rows["ids"]).to_numpy() // (4 * (2 + len(PREFIXES)))
+    ids = np.empty((int(sizes.sum()), 2 + len(PREFIXES)), np.int32)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    for x, a, b in zip(rows["ids"], bounds[:-1], bounds[1:], strict=True):
+        ids[a:b] = np.frombuffer(x.as_buffer(), np.int32).reshape(b - a, -1)
+    model = _classifier(Sequences(ids, bounds), (y == 1).astype(np.float32), part, language)
+    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
+def _classifier(seqs: Sequences, y: np.ndarray, part: np.ndarray, language: np.ndarray) -> Classifier:
+    """Train on all parts but 1 and calibrate on part 1; without both labels every score is below one half."""
     net = ConvNet(BUCKETS, DIM, WIDTHS, FILTERS)
-    if not len(y) or y.min() == y.max():
+    if y.min() == y.max():
         return Classifier(net, np.full(len(LANGUAGES), 30.0))
-    seqs = Sequences(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]))
     train = np.flatnonzero(part != 1) if (part != 1).any() else np.arange(len(y))
-    net.fit(seqs.chosen(train), (y[train] == 1).astype(np.float32))
+    net.fit(seqs, y, train)
     test = np.flatnonzero(part == 1) if (part == 1).any() else train
-    z, y, language = net.logits(seqs.chosen(test)), (y[test] == 1).astype(int), language[test]
-    thresholds = np.full(len(LANGUAGES), best_threshold(z, y))
+    z, y, language = net.logits(seqs.chosen(test)), y[test].astype(int), language[test]
+    shared = best_threshold(z, y)
+    thresholds = np.full(len(LANGUAGES), shared)
     for k in range(len(LANGUAGES)):
         own = language == k
-        if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST_CALIBRATED:
-            thresholds[k] = best_threshold(z[own], y[own])
+        n = int(y[own].sum())
+        if min(n, own.sum() - n) >= LEAST_CALIBRATED:
+            thresholds[k] = (n * best_threshold(z[own], y[own]) + SHARED * shared) / (n + SHARED)
     return Classifier(net, thresholds)
 
 
