@@ -123,7 +123,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     )
     # the sample is bounded, so one task trains on it and hands back the weights; the driver never holds the sample
     found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_trained, "model binary").collect()
-    return pickle.loads(found[0].model) if found else Classifier(ConvNet(2, 1, (1,), 1), np.full(len(LANGUAGES), 30.0))
+    return pickle.loads(found[0].model) if found else _undecided()
 
 
 def _trained(rows: pa.Table) -> pa.Table:
@@ -140,11 +140,15 @@ def _trained(rows: pa.Table) -> pa.Table:
     return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
+def _undecided() -> Classifier:
+    return Classifier(ConvNet(BUCKETS, DIM, WIDTHS, FILTERS), np.full(len(LANGUAGES), 30.0))
+
+
 def _classifier(seqs: Sequences, y: np.ndarray, part: np.ndarray, language: np.ndarray) -> Classifier:
     """Train on all parts but 1 and calibrate on part 1; without both labels every score is below one half."""
-    net = ConvNet(BUCKETS, DIM, WIDTHS, FILTERS)
     if y.min() == y.max():
-        return Classifier(net, np.full(len(LANGUAGES), 30.0))
+        return _undecided()
+    net = ConvNet(BUCKETS, DIM, WIDTHS, FILTERS)
     train = np.flatnonzero(part != 1) if (part != 1).any() else np.arange(len(y))
     net.fit(seqs, y, train)
     test = np.flatnonzero(part == 1) if (part == 1).any() else train
