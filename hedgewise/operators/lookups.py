@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +134,12 @@ def published_lookups(spark: SparkSession) -> Lookups:
     )
 
 
+def write_lookups(lookups: Lookups, folder: str) -> None:
+    """Store the lookup tables where ``read_lookups`` finds them."""
+    for field in fields(lookups):
+        getattr(lookups, field.name).write.mode("overwrite").parquet(f"{folder}/{field.name}")
+
+
 def read_lookups(spark: SparkSession, folder: str) -> Lookups:
     """Lookup tables stored as one Parquet table each under ``folder``."""
     schemas = {

@@ -26,6 +26,11 @@ def write_manifest(entries: DataFrame, path: str) -> None:
     entries.drop("scenario_no").write.mode("overwrite").json(path)
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries as ``write_manifest`` has written them."""
+    return spark.read.schema(ENTRY_SCHEMA).json(path)
+
+
 def write_index(lines: DataFrame, path: str) -> None:
     """Write index lines as text files that, read in name order, give the whole index."""
     ordered = lines.repartitionByRange("section_no", "line_no").sortWithinPartitions("section_no", "line_no")

@@ -222,13 +222,17 @@ def scenario_manifest(spark, folder):
 
 @query(
     "scenario_failures",
-    f"""{RUN}, judged AS (SELECT scenario_no, expected,
+    f"""{RUN}, judged AS (SELECT scenario_no,
+  CASE WHEN scenario_no % 13 <> 0 THEN expected WHEN expected = 'met' THEN 'unmet' ELSE 'met' END AS expected,
   CASE WHEN (post_units - baseline_units) / baseline_units * 100 >= 10 THEN 'met' ELSE 'unmet' END AS found FROM priced WHERE expected IS NOT NULL)
 SELECT scenario_no AS site_id, expected, found FROM judged WHERE expected <> found""",
 )
 def scenario_failures(spark, folder):
+    """Every thirteenth scenario declares the wrong side."""
     _, _, gains = scenario_run(spark, folder)
-    return scn.failed_scenarios(gains).select("site_id", "expected", "found")
+    wrong = F.when(F.col("expected") == "met", "unmet").when(F.col("expected").isNotNull(), "met")
+    declared = F.when(F.col("site_id") % 13 == 0, wrong).otherwise(F.col("expected"))
+    return scn.failed_scenarios(gains.withColumn("expected", declared)).select("site_id", "expected", "found")
 
 
 @query(
@@ -297,15 +301,10 @@ def plain_entries(spark, folder):
   expected, CASE expected WHEN 'met' THEN 293.0::DOUBLE WHEN 'unmet' THEN 0.0::DOUBLE END AS percentage FROM scn""",
 )
 def manifest_round_trip(spark, folder):
-    """Entries written as JSON documents, read back with the document's schema."""
-    entries = plain_entries(spark, folder).drop("scenario_no")
+    """Entries written as the manifest's lines and read back."""
     path = scratch_path(spark, "manifest")
-    documents = entries.select(F.array(F.struct("*")).alias("scenarios"))
-    # One document per purpose-sized group would gather a hot purpose; one per entry does not.
-    documents.select(F.to_json(F.struct("scenarios")).alias("value")).write.text(path)
-    read = spark.read.schema(man.DOCUMENT_SCHEMA).json(path)
-    rows = read.select(F.explode("scenarios").alias("s")).select("s.*")
-    return rows.select(
+    man.write_manifest(plain_entries(spark, folder), path)
+    return man.read_entries(spark, path).select(
         "id", "purpose", "title", "size", F.col("subject.ref").alias("ref"),
         F.col("gain.expected").alias("expected"), F.col("gain.percentage").alias("percentage"),
     )

@@ -9,6 +9,7 @@ from hedgewise.functions import scalars as sc
 from hedgewise.operators import lookups as lk
 from hedgewise.operators.netgain import gain_mismatches, net_gain
 from hedgewise.operators.pricing import price, with_tree_size
+from hedgewise.plans import scratch_path
 from workload import sql as q
 from workload import tables as t
 from workload.registry import query
@@ -190,7 +191,9 @@ SELECT coalesce(band, 'unknown') AS band, cd AS create_difficulty, ed AS enhance
 FROM parcels LEFT JOIN hab ON hab.name = base_broad || ' - ' || base_type GROUP BY 1, 2, 3""",
 )
 def lookup_coverage(spark, folder):
-    attributes = lk.target_attributes(t.synthetic_lookups(spark), lk.AREA)
+    stored = scratch_path(spark, "lookups")
+    lk.write_lookups(t.synthetic_lookups(spark), stored)
+    attributes = lk.target_attributes(lk.read_lookups(spark, stored), lk.AREA)
     joined = lk.keyed_join(
         t.pricing_input(t.parcels(spark, folder)).drop("prop_name"),
         attributes.withColumnRenamed("prop_name", "base_name"),

@@ -570,10 +570,19 @@ def validate_submissions(spark, folder):
 
 @query(
     "sql_geometry_functions",
-    f"{RECTANGLES} SELECT site_id, n, ((x1 - x0) * 50)::DOUBLE AS area_m2 FROM box",
+    f"""{RECTANGLES} SELECT site_id, n, ((x1 - x0) * 50)::DOUBLE AS area_m2, ((x1 - x0) * 50)::DOUBLE AS shared_m2,
+  (l_linenumber * 2.0)::DOUBLE AS outside_m, (l_linenumber * 1.0)::DOUBLE AS away_m, 'POLYGON' AS kind FROM box""",
 )
 def sql_geometry_functions(spark, folder):
     g.register(spark)
-    boxes(spark, folder).createOrReplaceTempView("parcel_boxes")
-    return spark.sql("SELECT site_id, n, habitat_area(geometry) AS area_m2 FROM parcel_boxes")
+    beyond, mid = F.col("l_linenumber").cast("double"), F.lit(25.0)
+    x0, x1 = (F.col("n") - 1) * 100.0, F.col("n") * 100.0 + F.when(F.col("l_quantity") % 10 == 0, 1.0).otherwise(0.0)
+    boxes(spark, folder).withColumns(
+        {"line": g.line_wkb(x0 - beyond, mid, x1 + beyond, mid), "point": g.point_wkb(x1 + beyond, mid)}
+    ).repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView("parcel_boxes")  # dear functions
+    return spark.sql(
+        """SELECT site_id, n, habitat_area(geometry) AS area_m2, habitat_overlap_area(geometry, geometry) AS shared_m2,
+  round(habitat_length_outside(line, geometry), 6) AS outside_m, round(habitat_distance_outside(point, geometry), 6) AS away_m,
+  habitat_geometry_facts(geometry).kind AS kind FROM parcel_boxes"""
+    )
 
