@@ -22,8 +22,8 @@ from hedgewise.plans import scratch_path, written
 
 #: Words of a window of a test item.
 WINDOW = 10
-#: A segment's texts have about so many bytes; a longer text is a segment of its own.
-SEGMENT_BYTES = 4 << 20
+#: A segment ends with the slice of texts that brings it to so many bytes.
+SEGMENT_BYTES = 3 << 20
 #: Windows that are looked up at once: the test items are worked on in blocks, so what goes to the tasks is bounded.
 BLOCK = 100_000
 
@@ -69,29 +69,39 @@ def build(docs: DataFrame, path: str) -> DataFrame:
 
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for texts in slices(batch.column(1), SEGMENT_BYTES):
-                terms, bounds = terms_of(texts)
-                order = np.argsort(terms, kind="stable").astype(np.int32)
-                terms = terms[order]
-                first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)])
-                n = len(first)
-                ends = np.append(first, len(terms))
-                starts = bounds.astype(np.int32).tobytes()
-                offsets = np.append(ends * 4, len(terms) * 4 + len(starts)).astype(np.int32)
-                data = order.tobytes() + starts
-                ids = batch.column(0).slice(texts.first, len(texts))
-                lists = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(ids)], pa.int32()), ids)
-                yield pa.record_batch(
-                    [
-                        pa.array([f"{task}-{made}"] * (n + 1)),
-                        pa.concat_arrays([pa.array(terms[first]), pa.nulls(1, pa.int64())]),
-                        pa.array(np.append(np.diff(ends), len(ids))),
-                        pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
-                        lists,
-                    ],
-                    schema=INDEX,
-                )
-                made += 1
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            first = size = 0
+            for texts in slices(batch.column(1)):
+                found, bounds = terms_of(texts)
+                held.append((found, np.diff(bounds)))
+                size += len(texts.data)
+                if size >= SEGMENT_BYTES or texts.first + len(texts) == batch.num_rows:
+                    ids = batch.column(0).slice(first, texts.first + len(texts) - first)
+                    yield segment(f"{task}-{made}", held, ids)
+                    made, first, size = made + 1, texts.first + len(texts), 0
+                    held = []
+
+    def segment(name: str, held: list[tuple[np.ndarray, np.ndarray]], ids: pa.Array) -> pa.RecordBatch:
+        terms = np.concatenate([x for x, _ in held])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in held]))]).astype(np.int32).tobytes()
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        terms = terms[order]
+        first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)])
+        n = len(first)
+        ends = np.append(first, len(terms))
+        offsets = np.append(ends * 4, len(terms) * 4 + len(starts)).astype(np.int32)
+        data = order.tobytes() + starts
+        lists = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(ids)], pa.int32()), ids)
+        return pa.record_batch(
+            [
+                pa.array([name] * (n + 1)),
+                pa.concat_arrays([pa.array(terms[first]), pa.nulls(1, pa.int64())]),
+                pa.array(np.append(np.diff(ends), len(ids))),
+                pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                lists,
+            ],
+            schema=INDEX,
+        )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX_DDL)
     rows.write.parquet(path)
