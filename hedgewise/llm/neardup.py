@@ -277,9 +277,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "bucket", "cls", F.coalesce("component", "cls").alias("component")
     )
     placed = written(placed, "placed")
-    major = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("major")
-    ).where("low != high").select("bucket", "major")
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    major = shares.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).getField("component").alias("major"), F.count(F.lit(1)).alias("parts")
+    ).where("parts > 1").select("bucket", "major")
     open_ones = placed.join(major, "bucket")
     open_ones = written(open_ones.join(classes.drop("doc_id"), "cls"), "open")
     a, b = open_ones.where("component != major").alias("a"), open_ones.alias("b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from hedgewise.llm.decontam import WINDOW
 from hedgewise.llm.licenses import AGREE, BASE, KEYS, RARE, SEPARATORS, TEMPLATES
 from hedgewise.llm.queries import ORACLES
+from hedgewise.llm.quotes import ANNOUNCED, MARKS, QUOTED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -119,3 +120,51 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(base.n, 0) AS n_base, first_word
   coalesce(more.score, 0.0) AS score
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN more ON more.doc_id = d.doc_id
 """
+
+ORACLES["op4_quotation_links"] = rf"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(array_to_string(
+    list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{QUOTED}') AND NOT regexp_matches(x, '{ANNOUNCED}')), chr(10)),
+    '^\s+|\s+$', '', 'g') END AS body
+  FROM conversations
+), line AS (
+  SELECT conv_id, turn, role, text, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM m WHERE regexp_matches(text, '(?m){QUOTED}'))
+), deep AS (
+  SELECT * REPLACE (regexp_replace(content, '{MARKS}', '') AS content),
+    length(regexp_replace(regexp_extract(content, '{MARKS}', 1), '[^>]', '', 'g')) AS depth FROM line
+), step AS (
+  SELECT *, CASE WHEN lag(depth) OVER (PARTITION BY conv_id, turn, role, text ORDER BY line) = depth THEN 0 ELSE 1 END AS starts FROM deep
+), run AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn, role, text ORDER BY line) AS run FROM step),
+quoted AS (
+  SELECT conv_id, turn, role, text, min(line) AS first_line, min(depth) AS depth,
+    trim(regexp_replace(lower(string_agg(content, ' ' ORDER BY line)), '\s+', ' ', 'g')) AS passage
+  FROM run WHERE depth > 0 GROUP BY conv_id, turn, role, text, run
+), part AS (
+  SELECT conv_id, turn, unnest(list_transform(list_concat([body], string_split_regex(body, '\n\s*\n'), string_split(body, chr(10))),
+    lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g')))) AS passage
+  FROM m WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL
+), original AS (SELECT passage, conv_id, min(turn) AS turn FROM part WHERE passage <> '' GROUP BY passage, conv_id),
+earliest AS (SELECT passage, conv_id, turn FROM original QUALIFY row_number() OVER (PARTITION BY passage ORDER BY conv_id, turn) = 1),
+matched AS (
+  SELECT q.*, CASE WHEN o.turn < q.turn THEN o.turn END AS reply_to,
+    CASE WHEN e.conv_id <> q.conv_id THEN e.conv_id END AS source_conv, CASE WHEN e.conv_id <> q.conv_id THEN e.turn END AS source_turn
+  FROM quoted q LEFT JOIN original o ON o.passage = q.passage AND o.conv_id = q.conv_id LEFT JOIN earliest e ON e.passage = q.passage
+  WHERE q.passage <> ''
+), reply AS (
+  SELECT conv_id, turn, role, text, count(*) AS n_passages, count(*) FILTER (reply_to IS NOT NULL OR source_conv IS NOT NULL) AS n_linked,
+    arg_min(reply_to, depth * 1000000000 + first_line) FILTER (reply_to IS NOT NULL) AS reply_to,
+    arg_min(source_conv, depth * 1000000000 + first_line) FILTER (source_conv IS NOT NULL) AS source_conv,
+    arg_min(source_turn, depth * 1000000000 + first_line) FILTER (source_conv IS NOT NULL) AS source_turn
+  FROM matched GROUP BY conv_id, turn, role, text
+), edge AS (SELECT conv_id, turn, min(reply_to) AS top FROM reply WHERE reply_to IS NOT NULL GROUP BY conv_id, turn),
+path(conv_id, turn, path) AS (
+  SELECT conv_id, turn, lpad(CAST(top AS VARCHAR), 10, '0') FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge u WHERE u.conv_id = e.conv_id AND u.turn = e.top)
+  UNION SELECT e.conv_id, e.turn, p.path || '/' || lpad(CAST(e.top AS VARCHAR), 10, '0') FROM path p JOIN edge e ON e.conv_id = p.conv_id AND e.top = p.turn
+)
+SELECT m.conv_id, m.turn, m.role, body, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, reply_to, source_conv, source_turn,
+  CASE WHEN n_passages IS NULL OR path IS NULL THEN 0 ELSE len(string_split(path, '/')) END AS depth,
+  concat_ws('/', CASE WHEN n_passages IS NOT NULL THEN path END, lpad(CAST(m.turn AS VARCHAR), 10, '0')) AS reply_path
+FROM m LEFT JOIN reply r ON r.conv_id = m.conv_id AND r.turn = m.turn AND r.role IS NOT DISTINCT FROM m.role AND r.text = m.text
+LEFT JOIN path p ON p.conv_id = m.conv_id AND p.turn = m.turn
+"""

@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from hedgewise.llm import decontam, licenses, neardup, quotes
 from hedgewise.llm.components import components
+from hedgewise.llm.queries import ORACLES
 from tests.llm.conftest import edge_rows, words
 
 ROWS = len(edge_rows())
@@ -181,3 +184,21 @@ def test_quotations(spark):
     assert (other.body, other.reply_to, other.source_conv, other.source_turn, other.n_passages, other.n_linked) == ("what", None, 1, 2, 2, 1)
     assert got[None, None].body is None
     assert quotes.linked(frame.limit(0)).count() == 0
+
+
+def test_quotations_match_their_sql(spark):
+    rng = random.Random(8)
+    said = ["good day", "What  now?", "a b c", "x"]
+    rows = []
+    for conv in range(6):
+        for turn in range(7):
+            lines = [("> " * rng.randint(0, 3) + rng.choice(said)) for _ in range(rng.randint(1, 5))]
+            rows.append((conv, turn, rng.choice(["u", None]), rng.choice(["\n", "\n\n"]).join(lines)))
+    rows += [(0, 0, "u", None), (None, 1, "u", "> x"), rows[3], rows[3]]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    db = duckdb.connect()
+    db.register("conversations", frame.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    plan = db.sql(ORACLES["op4_quotation_links"])
+    found = quotes.linked(frame)
+    assert set(plan.columns) == set(found.columns)
+    assert sorted(map(str, plan.fetchall())) == sorted(str(tuple(r)) for r in found.select(*plan.columns).collect())
