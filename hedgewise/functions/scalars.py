@@ -37,8 +37,12 @@ def kilometres(metres: Column) -> Column:
 def years(raw: Column) -> Column:
     """Leading integer of a text, 0 when there is none; beyond 64 bits the nearest 64-bit number."""
     leading = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1)
-    beyond = F.when(leading.startswith("-"), F.lit(-(2**63))).when(leading != "", F.lit(2**63 - 1))
-    return F.coalesce(leading.try_cast("bigint"), beyond, F.lit(0)).cast("bigint")
+
+    def beyond(text: Column) -> Column:
+        return F.when(text.startswith("-"), F.lit(-(2**63))).when(text != "", F.lit(2**63 - 1)).otherwise(F.lit(0))
+
+    # rare, so kept out of the generated code
+    return F.coalesce(leading.try_cast("bigint"), F.get(F.transform(F.array(leading), beyond), F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def layer_ref(layer: str, number: Column) -> Column:
@@ -86,12 +90,14 @@ def significant(value: Column) -> Column:
         steps = F.transform(steps, step)
     trimmed_value = F.get(steps, F.lit(0))
     inside = (F.abs(value) >= 1e-8) & (F.abs(value) < 1e15)
-    plain = F.isnan(value) | (F.abs(value) == F.lit(float("inf"))) | (value == 0)
-    by_text = F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", value).try_cast("double")
-    return (
-        F.when(inside, F.when(value < 0, -trimmed_value).otherwise(trimmed_value))
-        .when(plain, value).otherwise(by_text)
-    )
+
+    def by_text(x: Column) -> Column:
+        plain = F.isnan(x) | (F.abs(x) == F.lit(float("inf"))) | (x == 0)
+        return F.when(plain, x).otherwise(F.format_string(f"%.{SIGNIFICANT_FIGURES - 1}e", x).try_cast("double"))
+
+    # rare, so kept out of the generated code
+    far = F.get(F.transform(F.array(value), by_text), F.lit(0))
+    return F.when(inside, F.when(value < 0, -trimmed_value).otherwise(trimmed_value)).otherwise(far)
 
 
 def is_finite(value: Column) -> Column:
