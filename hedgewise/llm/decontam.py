@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgewise.llm.rows import fresh, without
-from hedgewise.llm.textscan import LOWER, SpanHasher, Texts, WORD_ALNUM, slices, spans
+from hedgewise.llm.textscan import lean, LOWER, SpanHasher, Texts, WORD_ALNUM, slices, spans
 from hedgewise.plans import scratch_path, written
 
 #: Words of a window of a test item.
@@ -103,7 +103,7 @@ def build(docs: DataFrame, path: str) -> DataFrame:
             schema=INDEX,
         )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX_DDL)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), INDEX_DDL)
     rows.write.parquet(path)
     return docs.sparkSession.read.schema(INDEX_DDL).parquet(path)
 
@@ -122,7 +122,7 @@ def documents(index: DataFrame) -> DataFrame:
                 )
 
     own = index.where("term IS NULL").select("segment", "positions", "doc_ids")
-    return own.mapInArrow(run, "segment string, doc int, doc_id long, n_words long")
+    return own.mapInArrow(lean(run), "segment string, doc int, doc_id long, n_words long")
 
 
 def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -143,8 +143,7 @@ def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
                     [pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["item", "terms"]
                 )
 
-    return items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(
-        run, "item string, terms array<long>"
+    return items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(lean(run), "item string, terms array<long>"
     )
 
 

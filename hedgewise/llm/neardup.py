@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hedgewise.llm.components import components
 from hedgewise.llm.rows import fresh, without
-from hedgewise.llm.textscan import LOWER, PLACE, SpanHasher, Texts, WORD_BY_SPACE, mixed, slices, spans, windows
+from hedgewise.llm.textscan import lean, LOWER, PLACE, SpanHasher, Texts, WORD_BY_SPACE, mixed, slices, spans, windows
 from hedgewise.plans import written
 
 SHINGLE = 5
@@ -144,7 +144,7 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(columns, schema=SIGNATURES)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, SIGNATURES_DDL)
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(lean(run), SIGNATURES_DDL)
 
 
 def _sizes_allow(percent: int) -> F.Column:
@@ -196,7 +196,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
                 members = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.record_batch([pa.array(names), pa.array(members, pa.binary())], names=["cls", "members"])
 
-    sets = rows.mapInArrow(run, "cls long, members binary")
+    sets = rows.mapInArrow(lean(run), "cls long, members binary")
     return sets.dropDuplicates(["cls"])
 
 
@@ -217,7 +217,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
 
-    return both.select("x", "y", "left", "right").mapInArrow(run, "u long, v long")
+    return both.select("x", "y", "left", "right").mapInArrow(lean(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

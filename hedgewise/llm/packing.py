@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hedgewise.llm.textscan import slices
+from hedgewise.llm.textscan import lean, slices
 from hedgewise.plans import written
 
 CAPACITY = 2048
@@ -153,7 +153,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                     [pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES_DDL)
 
 
 def plan(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -264,4 +264,4 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             own = [batch.column(f.name).cast(f.type) for f in PIECES]
             yield pa.record_batch([*own, pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return ranked.mapInArrow(take, PIECES_DDL + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(take), PIECES_DDL + ", sequence_id long, offset long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgewise.llm.convnet import ConvNet, Sequences, sigmoid
-from hedgewise.llm.textscan import STARTS_CHAR, Texts, WORD_BY_SPACE, run_totals, slices, spans
+from hedgewise.llm.textscan import lean, STARTS_CHAR, Texts, WORD_BY_SPACE, run_totals, slices, spans
 from hedgewise.plans import written
 
 KINDS = ("assign", "access", "hex", "model")
@@ -205,7 +205,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                     schema=SCAN,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCAN_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCAN_DDL)
 
 
 class Detector:
@@ -296,7 +296,7 @@ def findings(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"],
             )
 
-    return scans.select("doc_id", "n_assign", "n_access", "n_hex", "spans", "open").mapInArrow(run, FINDINGS_DDL)
+    return scans.select("doc_id", "n_assign", "n_access", "n_hex", "spans", "open").mapInArrow(lean(run), FINDINGS_DDL)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -343,7 +343,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     out = docs.withColumn("text", F.col("text").cast("string")) if kind.simpleString() != "string" else docs
-    out = out.mapInArrow(run, out.schema)
+    out = out.mapInArrow(lean(run), out.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from hedgewise.llm.convnet import ConvNet, Sequences, sigmoid
 from hedgewise.llm.rows import fresh
-from hedgewise.llm.textscan import LOWER, SpanHasher, Texts, WORD_ALNUM, mixed, run_totals, slices, spans
+from hedgewise.llm.textscan import give_back, lean, LOWER, SpanHasher, Texts, WORD_ALNUM, mixed, run_totals, slices, spans
 from hedgewise.plans import written
 
 #: Labelled documents of each label that are fitted and calibrated on, at most; those with the least hashes of their ids.
@@ -118,8 +118,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
                     names=["doc_id", "toxic", "fold", "language", "ids"],
                 )
 
-    rows = texts.select("text", "doc_id", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(
-        run, "doc_id long, toxic int, fold int, language long, ids binary"
+    rows = texts.select("text", "doc_id", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(lean(run), "doc_id long, toxic int, fold int, language long, ids binary"
     )
     # the sample is bounded, so one task trains on it and hands back the weights; the driver never holds the sample
     found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_trained, "model binary").collect()
@@ -127,17 +126,19 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 
 def _trained(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("doc_id")
-    first = np.append(True, np.diff(rows["doc_id"].to_numpy()) != 0)
-    rows = rows.filter(pa.array(first))
-    y, part, language = (rows[c].to_numpy() for c in ("toxic", "fold", "language"))
-    sizes = pc.binary_length(rows["ids"]).to_numpy() // (4 * (2 + len(PREFIXES)))
+    _, order = np.unique(rows["doc_id"].to_numpy(), return_index=True)  # a row of each document, by doc_id
+    y, part, language = (rows[c].to_numpy()[order] for c in ("toxic", "fold", "language"))
+    sizes = pc.binary_length(rows["ids"]).to_numpy()[order] // (4 * (2 + len(PREFIXES)))
     ids = np.empty((int(sizes.sum()), 2 + len(PREFIXES)), np.int32)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    for x, a, b in zip(rows["ids"], bounds[:-1], bounds[1:], strict=True):
-        ids[a:b] = np.frombuffer(x.as_buffer(), np.int32).reshape(b - a, -1)
+    for i, a, b in zip(order.tolist(), bounds[:-1], bounds[1:], strict=True):
+        ids[a:b] = np.frombuffer(rows["ids"][i].as_buffer(), np.int32).reshape(b - a, -1)
+    del rows
     model = _classifier(Sequences(ids, bounds), (y == 1).astype(np.float32), part, language)
-    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+    data = pickle.dumps(model)
+    del ids, model
+    give_back()
+    return pa.table({"model": pa.array([data], pa.binary())})
 
 
 def _undecided() -> Classifier:
@@ -174,7 +175,7 @@ def scored(docs: DataFrame, model: Classifier, column: str) -> DataFrame:
             found = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(column, DoubleType()))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
