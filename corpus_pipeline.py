@@ -11,6 +11,9 @@ from hedgewise.llm import decontam, neardup, packing, secrets, toxicity
 from hedgewise.llm.queries import tokenizer_path
 from hedgewise.plans import written
 
+#: Share of word shingles, in percent, from which two documents of the pipeline are near duplicates.
+ALIKE_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -19,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, ALIKE_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

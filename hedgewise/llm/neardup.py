@@ -28,8 +28,9 @@ from hedgewise.llm.textscan import lean, LOWER, PLACE, SpanHasher, Texts, WORD_B
 from hedgewise.plans import written
 
 SHINGLE = 5
-#: Bands of rows: a pair of similarity s meets in none with probability (1 - s^ROWS)^BANDS, 4e-7 at 0.85.
-BANDS, ROWS = 25, 5
+#: A pair that has just the wanted similarity s meets in none of the bands of ROWS values with probability
+#: (1 - s^ROWS)^bands; there are as many bands as keep that within MISS (25 at 0.85, 37 at 0.80).
+ROWS, MISS = 5, 4.5e-7
 #: Ranges of the sampled permutation, and bits of the parity bitmap.
 RANGES, BITS = 4096, 2048
 #: Standard deviations that a pair's count may lie beyond the one expected at the wanted similarity.
@@ -37,8 +38,6 @@ MARGIN = 4.5
 #: Up to so many rows of (doc_id) are broadcast to pick documents; more are joined by a shuffle.
 PICKED_MAX = 1_000_000
 
-_XOR = mixed(np.arange(1000, 1000 + BANDS * ROWS, dtype=np.uint64)).astype(np.uint32)
-_ODD = mixed(np.arange(5000, 5000 + BANDS * ROWS, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 SIGNATURES = pa.schema(
     [
@@ -54,6 +53,12 @@ SIGNATURES = pa.schema(
 SIGNATURES_DDL = "doc_id long, text_hash long, n long, cls long, bands array<long>, samples int, sketch array<long>"
 
 
+def band_count(percent: int) -> int:
+    """Bands that a wanted similarity takes."""
+    share = (percent / 100) ** ROWS
+    return 1 if share >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-share)))
+
+
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes, one text after the other, and the texts' bounds."""
     start, end, word_bounds = spans(texts, WORD_BY_SPACE[texts.data])
@@ -88,15 +93,19 @@ def class_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return names.view(np.int64)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, bounds: np.ndarray, n_bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of non-empty sets: names of their bands, how many samples each has, and their parity bitmaps as 64-bit words."""
     n, at = len(bounds) - 1, bounds[:-1]
     low = sets.astype(np.uint32)
-    bands = np.zeros((n, BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat((low ^ _XOR[i]) * _ODD[i], at)
-        bands[:, i // ROWS] += least.astype(np.uint64) * PLACE[i]
-    bands = mixed(bands + PLACE[:BANDS])
+    bands = np.zeros((n, n_bands), np.uint64)
+    values = np.arange(n_bands * ROWS, dtype=np.uint64)
+    flips = mixed(values + np.uint64(1000)).astype(np.uint32)
+    odds = mixed(values + np.uint64(5000)).astype(np.uint32) | np.uint32(1)
+    places = mixed(values + np.uint64(9000)) | np.uint64(1)
+    for i in range(n_bands * ROWS):
+        least = np.minimum.reduceat((low ^ flips[i]) * odds[i], at)
+        bands[:, i // ROWS] += least.astype(np.uint64) * places[i]
+    bands = mixed(bands + places[:n_bands])
     ranges = sets >> np.uint64(64 - RANGES.bit_length() + 1)
     first = np.ones(len(sets), bool)
     first[1:] = ranges[1:] != ranges[:-1]
@@ -119,7 +128,7 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
-def with_signatures(docs: DataFrame) -> DataFrame:
+def with_signatures(docs: DataFrame, n_bands: int) -> DataFrame:
     """One row per document; ``cls`` is 0 and the lists are empty for those without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +140,9 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                 bands = sketch = np.zeros((0, 1), np.int64)
                 samples = np.zeros(len(n), np.int32)
                 if full.any():
-                    bands, samples[full], sketch = signatures(sets, np.concatenate([bounds[:-1][full], bounds[-1:]]))
+                    bands, samples[full], sketch = signatures(
+                        sets, np.concatenate([bounds[:-1][full], bounds[-1:]]), n_bands
+                    )
                 columns = [
                     batch.column(0).slice(texts.first, len(texts)),
                     batch.column(2).slice(texts.first, len(texts)),
@@ -229,7 +240,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     never names a component that has another id; where all are null, so is the component_id. Only doc_id and text are
     read. Two texts count as equal if the 64-bit hashes of their shingles do.
     """
-    signed = written(with_signatures(docs), "signatures")
+    n_bands = band_count(percent)
+    signed = written(with_signatures(docs, n_bands), "signatures")
     classes = written(
         signed.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("doc_id"),
@@ -252,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "cls",
         "weight",
         F.explode(
-            F.concat("bands", *[F.array(*[F.xxhash64(F.col("bands")[i], F.col("bands")[(i + 1) % BANDS]) for i in range(BANDS)])])
+            F.concat("bands", *[F.array(*[F.xxhash64(F.col("bands")[i], F.col("bands")[(i + 1) % n_bands]) for i in range(n_bands)])])
         ).alias("bucket"),
     )
     hubs = met.groupBy("bucket").agg(
@@ -287,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # the first bucket that both share: a pair is compared there alone
     met_before = reduce(
         lambda found, i: F.when(F.col("a.bands")[i] == F.col("b.bands")[i], F.col("a.bands")[i]).otherwise(found),
-        range(BANDS - 1, -1, -1),
+        range(n_bands - 1, -1, -1),
         F.lit(None).cast("long"),
     )
     rest = a.join(

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 
+import corpus_pipeline
 from hedgewise.llm import decontam, licenses, neardup, quotes
 from hedgewise.llm.components import components
 from hedgewise.llm.queries import ORACLES
@@ -202,3 +203,30 @@ def test_quotations_match_their_sql(spark):
     found = quotes.linked(frame)
     assert set(plan.columns) == set(found.columns)
     assert sorted(map(str, plan.fetchall())) == sorted(str(tuple(r)) for r in found.select(*plan.columns).collect())
+
+
+def test_the_pipeline_drops_pairs_between_80_and_85_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        w = words(rng, 204)
+        rows.append((2 * i, " ".join(w)))
+        for k in rng.choice([(60, 120), (50, 100, 150), (40, 90, 140, 190)]):
+            w[k] = f"new{i}x{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+    between = set()
+    for i in range(40):
+        a, b = shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])
+        if 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b):
+            between.add(2 * i + 1)
+    assert len(between) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {2 * i for i in range(40)} and neardup.deduplicated(docs).where("doc_id % 2 = 1").count() == len(between)
+
+
+def test_bands_follow_from_the_similarity():
+    for percent in (50, 80, 85, 95):
+        n = neardup.band_count(percent)
+        assert (1 - (percent / 100) ** neardup.ROWS) ** n <= neardup.MISS
+    assert neardup.band_count(85) == 25
