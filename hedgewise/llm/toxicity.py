@@ -1,9 +1,9 @@
 """A toxicity classifier: hashed word embeddings, several filter widths and max pooling, thresholds by language.
 
 Words enter by hashes of the whole word (two, so that two words rarely share both) and of its first bytes. The network is
-trained on a bounded sample of labelled documents and scores every whole text. Thresholds are calibrated on labelled
-documents that training has not seen, by the language that the text's own function words show; the score is shifted so
-that its threshold is one half.
+trained on a bounded sample of labelled documents and scores every whole text. Thresholds are calibrated on all labelled
+documents of a fold that training has not seen, by the language that the text's own function words show; the score is
+shifted so that its threshold is one half.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from hedgewise.llm.rows import fresh
 from hedgewise.llm.textscan import give_back, lean, LOWER, SpanHasher, Texts, WORD_ALNUM, mixed, run_totals, slices, spans
 from hedgewise.plans import written
 
-#: Labelled documents of each label that are fitted and calibrated on, at most; those with the least hashes of their ids.
+#: Labelled documents of each label that are fitted on, at most; those with the least hashes of their ids.
 SAMPLE = 3000
-#: Longer documents are left out of that sample (never out of the scoring).
+#: Longer documents are left out of that sample (never out of the calibration and the scoring).
 SAMPLE_WORDS = 3000
+#: Bins that calibration counts logits in, for each unit, and the logits at which the bins end.
+BINS, LOGIT_MAX = 64, 100
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 16
 PREFIXES = (5, 6, 7)
 #: Calibration documents with and without the label that a language needs for a threshold of its own, and with how many
@@ -78,15 +80,15 @@ class Classifier:
         return sigmoid(self.net.logits(seqs) - self.thresholds[language])
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, in the middle of the gap that holds it."""
-    order = np.argsort(-z)
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    f1[:-1][z[:-1] == z[1:]] = -1  # no cut between equal logits
-    k = int(f1.argmax())
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k]) - 1e-3
+def best_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit with the best F1, in the middle of the gap between the filled bins that holds it."""
+    filled, where = np.unique(-bins, return_inverse=True)
+    hits = np.cumsum(np.bincount(where, toxic))
+    called = hits + np.cumsum(np.bincount(where, clean))
+    k = int((2 * hits / (called + max(1, hits[-1]))).argmax())
+    low = -filled[k]  # the lower end of the last bin above the threshold
+    high = 1 - filled[k + 1] if k + 1 < len(filled) else low
+    return float(low + high) / 2 / BINS
 
 
 def fold(key: str = "doc_id") -> F.Column:
@@ -95,9 +97,19 @@ def fold(key: str = "doc_id") -> F.Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Learn from at most SAMPLE labelled documents of each label; without both labels every score is below one half."""
+    """Learn from at most SAMPLE labelled documents of each label and calibrate on all of fold 1; without both labels every
+    score is below one half. Fold 1 is learnt from only if the others lack a label, and they calibrate only if it is empty."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold()).where("fold != 0")
+    net = _trained_on(docs, known.where("fold != 1")) or _trained_on(docs, known)
+    if net is None:
+        return _undecided()
+    counts = _counted(docs.where(fold() == 1), known, net) or _counted(docs.where(fold() > 1), known, net)
+    return Classifier(net, _thresholds(np.array(counts, np.int64)))
+
+
+def _trained_on(docs: DataFrame, known: DataFrame) -> ConvNet | None:
+    """The network, from a bounded sample; none without both labels."""
     part = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(part, "doc_id").limit(SAMPLE).unionByName(
         known.where("toxic != 1").orderBy(part, "doc_id").limit(SAMPLE)
@@ -109,34 +121,37 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in slices(batch.column(0)):
-                seqs, language = features(own)
+                seqs, _ = features(own)
                 cut = seqs.bounds
                 ids = [seqs.ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 rows = batch.slice(own.first, len(own))
                 yield pa.record_batch(
-                    [rows.column(1), rows.column(2), rows.column(3), pa.array(language), pa.array(ids, pa.binary())],
-                    names=["doc_id", "toxic", "fold", "language", "ids"],
+                    [rows.column(1), rows.column(2), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"]
                 )
 
-    rows = texts.select("text", "doc_id", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(lean(run), "doc_id long, toxic int, fold int, language long, ids binary"
+    rows = texts.select("text", "doc_id", F.col("toxic").cast("int")).mapInArrow(
+        lean(run), "doc_id long, toxic int, ids binary"
     )
     # the sample is bounded, so one task trains on it and hands back the weights; the driver never holds the sample
     found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_trained, "model binary").collect()
-    return pickle.loads(found[0].model) if found else _undecided()
+    return pickle.loads(found[0].model) if found else None
 
 
 def _trained(rows: pa.Table) -> pa.Table:
     _, order = np.unique(rows["doc_id"].to_numpy(), return_index=True)  # a row of each document, by doc_id
-    y, part, language = (rows[c].to_numpy()[order] for c in ("toxic", "fold", "language"))
+    y = (rows["toxic"].to_numpy()[order] == 1).astype(np.float32)
     sizes = pc.binary_length(rows["ids"]).to_numpy()[order] // (4 * (2 + len(PREFIXES)))
     ids = np.empty((int(sizes.sum()), 2 + len(PREFIXES)), np.int32)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     for i, a, b in zip(order.tolist(), bounds[:-1], bounds[1:], strict=True):
         ids[a:b] = np.frombuffer(rows["ids"][i].as_buffer(), np.int32).reshape(b - a, -1)
     del rows
-    model = _classifier(Sequences(ids, bounds), (y == 1).astype(np.float32), part, language)
-    data = pickle.dumps(model)
-    del ids, model
+    net = None
+    if y.min() != y.max():
+        net = ConvNet(BUCKETS, DIM, WIDTHS, FILTERS)
+        net.fit(Sequences(ids, bounds), y)
+    data = pickle.dumps(net)
+    del ids, net
     give_back()
     return pa.table({"model": pa.array([data], pa.binary())})
 
@@ -145,23 +160,37 @@ def _undecided() -> Classifier:
     return Classifier(ConvNet(BUCKETS, DIM, WIDTHS, FILTERS), np.full(len(LANGUAGES), 30.0))
 
 
-def _classifier(seqs: Sequences, y: np.ndarray, part: np.ndarray, language: np.ndarray) -> Classifier:
-    """Train on all parts but 1 and calibrate on part 1; without both labels every score is below one half."""
-    if y.min() == y.max():
-        return _undecided()
-    net = ConvNet(BUCKETS, DIM, WIDTHS, FILTERS)
-    train = np.flatnonzero(part != 1) if (part != 1).any() else np.arange(len(y))
-    net.fit(seqs, y, train)
-    test = np.flatnonzero(part == 1) if (part == 1).any() else train
-    z, y, language = net.logits(seqs.chosen(test)), y[test].astype(int), language[test]
-    shared = best_threshold(z, y)
+def _counted(docs: DataFrame, known: DataFrame, net: ConvNet) -> list[tuple[int, int, int, int]]:
+    """(language, bin of the logit, toxic ones, clean ones) over all labelled ones of ``docs``, however long; rows that
+    agree in doc_id, language and bin count once."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in slices(batch.column(0)):
+                seqs, language = features(own)
+                bins = np.floor(np.clip(shared.value.logits(seqs), -LOGIT_MAX, LOGIT_MAX) * BINS).astype(np.int64)
+                doc_id = batch.column(1).slice(own.first, len(own))
+                yield pa.record_batch([doc_id, pa.array(language), pa.array(bins)], names=["doc_id", "language", "bin"])
+
+    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text", F.col("doc_id").cast("long"))
+    rows = rows.mapInArrow(lean(run), "doc_id long, language long, bin long").distinct()
+    counts = rows.join(known, "doc_id").groupBy("language", "bin").agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1))
+    return [tuple(r) for r in counts.collect()]  # a row per language and bin
+
+
+def _thresholds(counts: np.ndarray) -> np.ndarray:
+    """The languages' thresholds from the rows of _counted; where a language has few rows, mostly that of all."""
+    if not len(counts):
+        return np.zeros(len(LANGUAGES))
+    shared = best_threshold(*counts[:, 1:].T)
     thresholds = np.full(len(LANGUAGES), shared)
     for k in range(len(LANGUAGES)):
-        own = language == k
-        n = int(y[own].sum())
-        if min(n, own.sum() - n) >= LEAST_CALIBRATED:
-            thresholds[k] = (n * best_threshold(z[own], y[own]) + SHARED * shared) / (n + SHARED)
-    return Classifier(net, thresholds)
+        own = counts[counts[:, 0] == k, 1:]
+        n, clean = own[:, 1].sum(), own[:, 2].sum()
+        if min(n, clean) >= LEAST_CALIBRATED:
+            thresholds[k] = (n * best_threshold(*own.T) + SHARED * shared) / (n + SHARED)
+    return thresholds
 
 
 def scored(docs: DataFrame, model: Classifier, column: str) -> DataFrame:

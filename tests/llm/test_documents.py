@@ -226,3 +226,38 @@ def test_toxicity_on_held_out_rows(spark, edge, none):
     assert toxicity.judged(edge, own).count() == ROWS
     kept = toxicity.accepted(edge, own.limit(0))
     assert kept.columns == edge.columns and kept.count() == ROWS
+
+
+def plain_threshold(z, y):
+    cuts = np.unique(z)
+    f1 = [2 * y[z >= c].sum() / ((z >= c).sum() + max(1, y.sum())) for c in cuts]
+    return cuts, np.array(f1)
+
+
+def test_thresholds_rest_on_all_of_the_calibration_fold(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    rng = random.Random(9)
+    rows = []
+    for i in range(1500):
+        toxic = i % 12 == 0
+        said = words(rng, 30) + ["vile"] * (rng.random() < (0.8 if toxic else 0.04)) + ["grim"] * (rng.random() < (0.6 if toxic else 0.1))
+        rng.shuffle(said)
+        rows.append((i, " ".join(said), int(toxic)))
+    rows += [(5000 + i, " ".join(words(rng, 9000)), 0) for i in range(40)]
+    assert min(len(t) for i, t, _ in rows if i >= 5000) > 36_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fitted(docs, docs.select("doc_id", "toxic"))
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 1]
+    assert sum(r[2] for r in own) > 15 and any(r[0] >= 5000 for r in own)
+    z = np.concatenate([model.net.logits(toxicity.features(t)[0]) for t in toxicity.slices(pa.array([r[1] for r in own]))])
+    y = np.array([r[2] for r in own])
+    _, f1 = plain_threshold(np.floor(z * toxicity.BINS), y)
+    used = model.thresholds[-1]
+    got = 2 * y[z >= used].sum() / ((z >= used).sum() + y.sum())
+    assert got == pytest.approx(f1.max(), abs=1e-9)
+
+
+def test_threshold_of_bins():
+    bins, toxic, clean = np.array([0, 5, 9, 9]), np.array([0, 1, 2, 1]), np.array([7, 0, 1, 0])
+    # the best cut keeps bins 5 and 9: between the lower end of bin 5 and the upper end of bin 0
+    assert toxicity.best_threshold(bins, toxic, clean) == (5 + 1) / 2 / toxicity.BINS
