@@ -1,13 +1,15 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions alone.
 
-The templates' words are postings (word, template, position). Of each file the licence words with the highest IDF over
-the whole corpus are looked up, and the places where file and template run side by side are counted by their relative
-position. The best one is read against the whole template, and a label holds if enough words agree and all of the
-template's mandatory phrases stand in the file.
+The templates' words are postings (word, template, position). Of each template the words with the highest IDF over the
+whole corpus are looked up in the files, and the places where file and template run side by side are counted by their
+relative position. Every one with as many votes as a place must have where enough words agree is read against the whole
+template, and a label holds if enough words agree at one of them and all of the template's mandatory phrases stand in the
+file.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from hedgewise.plans import literal_table, written
 
-#: Licence words of a file that are looked up.
+#: Words of a template that are looked up, at least.
 RARE = 8
+#: Votes that a place where enough words agree must have, at least; where RARE words do not warrant them, more are looked up.
+LEAST_VOTES = 2
 #: Share of a template's words that must stand at their places.
 AGREE = 0.6
 
@@ -51,10 +55,25 @@ VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 KEYS = ["cc", "compliance", "license", "permission", "redistribution"]
 
 
-def postings(spark: SparkSession) -> DataFrame:
-    """(word, template, at): the positions of every template's words."""
-    rows = [(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
-    return literal_table(spark, "word string, template int, at int", rows)
+def rarest(files: dict[str, int], rare: int, agree: float) -> list[tuple[str, int, int, int]]:
+    """(word, template, at, least): the positions of every template's rarest words, and how many of these positions must
+    agree wherever a share ``agree`` of the whole template does."""
+    rows = []
+    for t, (_, text, _) in enumerate(TEMPLATES):
+        wording = text.split()
+        lost = len(wording) - math.ceil(agree * len(wording) - 1e-9)
+        chosen, own = 0, []
+        for word in sorted(set(wording), key=lambda w: (files.get(w, 0), w)):
+            if chosen >= rare and len(own) >= lost + LEAST_VOTES:
+                break
+            chosen += 1
+            own += [(word, t, i) for i, w in enumerate(wording) if w == word]
+        rows += [(*x, max(1, len(own) - lost)) for x in own]
+    return rows
+
+
+def postings(spark: SparkSession, rows: list[tuple[str, int, int, int]]) -> DataFrame:
+    return literal_table(spark, "word string, template int, at int, least int", rows)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -83,8 +102,8 @@ def scan(docs: DataFrame, rare: int = RARE, agree: float = AGREE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the best share of a template that a label of the method rests on; 0 where there is none. A null or empty
-    text has no words and no labels; of two equally good places the first one is read; repeated rows are scanned each for
-    itself; an empty table gives no rows. Only doc_id and text are read.
+    text has no words and no labels; repeated rows are scanned each for itself; an empty table gives no rows. Only doc_id
+    and text are read.
     """
     spark = docs.sparkSession
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
@@ -98,32 +117,30 @@ def scan(docs: DataFrame, rare: int = RARE, agree: float = AGREE) -> DataFrame:
     read = written(read.withColumn("row", F.monotonically_increasing_id()), "licence-words")
     files = read.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("files"))
     found = {r.word: r.files for r in files.collect()}  # a row per word of the templates
-    frequency = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, found.get(w, 0))])
+    looked_up = rarest(found, rare, agree)
 
     open_ones = read.where("words IS NOT NULL")
-    rarest = F.slice(
-        F.array_sort(F.transform("seen", lambda w: F.named_struct(F.lit("files"), frequency[w], F.lit("word"), w))), 1, rare
-    )
-    looked_up = open_ones.select("row", F.transform(rarest, lambda x: x["word"]).alias("rare"), F.posexplode("words").alias("pos", "word"))
     votes = (
-        looked_up.where(F.array_contains("rare", F.col("word")))
-        .join(F.broadcast(postings(spark)), "word")  # as many rows as the templates have words
-        .groupBy("row", "template", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    )
-    best = votes.groupBy("row", "template").agg(
-        F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift")
+        open_ones.select("row", F.posexplode("words").alias("pos", "word"))
+        .where(F.col("word").isin(sorted({x[0] for x in looked_up})))
+        .join(F.broadcast(postings(spark, looked_up)), "word")  # as many rows as the templates have words
+        .groupBy("row", "template", "least", (F.col("pos") - F.col("at")).alias("shift"))
+        .agg(F.count(F.lit(1)).alias("votes"))
     )
+    shifts = votes.where("votes >= least").groupBy("row", "template").agg(F.collect_list("shift").alias("shifts"))
     text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    agreeing = F.filter(
-        F.transform("wording", lambda w, i: F.get("words", F.col("shift") + i) == w), lambda same: same
-    )
+
+    def agreeing(shift: Column) -> Column:
+        same = F.transform("wording", lambda w, i: F.get("words", shift + i) == w)
+        return F.size(F.filter(same, lambda x: x))
+
     judged = (
-        best.join(F.broadcast(templates(spark)), "template").join(open_ones.select("row", "words"), "row")
+        shifts.join(F.broadcast(templates(spark)), "template").join(open_ones.select("row", "words"), "row")
         .select(
             "row",
             "label",
             F.forall(F.split("phrases", ","), lambda p: text.contains(F.concat(F.lit(" "), p, F.lit(" ")))).alias("held"),
-            (F.size(agreeing) / F.size("wording")).alias("share"),
+            (F.array_max(F.transform("shifts", agreeing)) / F.size("wording")).alias("share"),
         )
         .where(F.col("held") & (F.col("share") >= agree))
         .groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))

@@ -230,3 +230,31 @@ def test_bands_follow_from_the_similarity():
         n = neardup.band_count(percent)
         assert (1 - (percent / 100) ** neardup.ROWS) ** n <= neardup.MISS
     assert neardup.band_count(85) == 25
+
+
+def test_every_licence_of_a_file_and_every_place_counts(spark):
+    rng = random.Random(13)
+    bsd, sa, nc = (next(t for label, t, _ in licenses.TEMPLATES if label == k) for k in ("bsd", "cc-by-sa", "cc-by-nc"))
+    rows = [(0, f"{bsd} and the text is {sa}"), (1, "see cc by nc " + " ".join(words(rng, 50)) + f" {nc}")]
+    for i in range(2, 120):  # passages with words replaced, among others and partial mentions
+        said = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for k in rng.sample(range(len(w)), int(rng.random() * 0.55 * len(w))):
+                w[k] = rng.choice(["x", *licenses.VOCABULARY])
+            said += words(rng, rng.randint(0, 5)) + w[rng.choice([0, 0, 1, 3]) :]
+        rows.append((i, " ".join(said)))
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        w, labels, score = alnum(text), set(), 0
+        for label, passage, phrases in licenses.TEMPLATES:
+            p = passage.split()
+            share = max(
+                sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(p)) / len(p) for s in range(-len(p), len(w))
+            )
+            if share >= licenses.AGREE and all(f" {x} " in f" {' '.join(w)} " for x in phrases):
+                labels.add(label)
+                score = max(score, share)
+        base = set(found[i].base_labels.split(",")) - {""}
+        assert set(found[i].labels.split(",")) - {""} == labels | base and abs(found[i].score - score) < 1e-9
+    assert found[0].labels == "bsd,cc-by-sa" and found[1].labels == "cc-by-nc"
