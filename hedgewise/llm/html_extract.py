@@ -2,8 +2,8 @@
 
 Pages of one host are aligned as trees of block elements by simple tree matching: equal neighbours fold into one node, and
 two lists of children are matched in order so that most nodes meet. A host's wrapper is such a tree with, per node, how
-many pages have it, how much text stands there, and which texts most pages repeat (a bounded summary that can be merged).
-Texts that most pages repeat at a node are template; the node under which the varying text lies is the content. Elements
+many pages have it and how much text stands there; the pages that have a text at a path are counted beside it, by rows.
+Texts that most pages repeat at a path are template; the node under which the varying text lies is the content. Elements
 that say what they are (menus, footers, forms, adverts, comments and the like) never count as content.
 
 Wrappers are built per task and merged in a tree of groups, so no host, however large, meets in one task as pages.
@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 
 from hedgewise.plans import keyed_join, written
 
-#: Share of a host's pages that must repeat a text at a node for it to be template, and the pages it takes to tell.
+#: Share of a host's pages that must repeat a text at a path for it to be template, and the pages it takes to tell.
 REPEATED, LEAST_PAGES = 0.6, 4
 #: Share of the text at hand that a child must have to be gone into: one that calls itself the content, and any other.
 NAMED_SHARE, CONTENT_SHARE = 0.1, 0.7
-#: Texts that a node's summary holds; any that over one in so many pages repeat is among them.
-SUMMARY = 32
 #: A wrapper beyond so many nodes drops those that less than one page in fifty has; they cannot be template.
 NODES_MAX = 2000
 #: Elements nested deeper are read as text of the element that is so deep.
@@ -202,7 +200,7 @@ def runs(node: Node) -> Iterator[str | Node]:
 
 
 def mark(text: str) -> int:
-    """A text's 64-bit hash for the summaries."""
+    """A text's or a path's 64-bit hash."""
     data = text.encode()
     return crc32(data) << 32 | crc32(data[::-1] + b"#")
 
@@ -225,18 +223,18 @@ def wrapper(node: Node, inside: bool = False) -> list:
                 merge(out[CHILDREN][-1], child, 0)
             else:
                 out[CHILDREN].append(child)
-    _bounded(out[TEXTS])
     return out
 
 
-def _bounded(texts: dict) -> None:
-    """Keep at most SUMMARY texts: all counts go down by that of the first one left out (Misra and Gries)."""
-    if len(texts) > SUMMARY:
-        cut = sorted(texts.values(), reverse=True)[SUMMARY]
-        for k in [k for k, n in texts.items() if n <= cut]:
-            del texts[k]
-        for k in texts:
-            texts[k] -= cut
+def texts_taken(node: list, path: str | None = None) -> set[int]:
+    """The marks of (path, text) of a page's wrapper, which is left without texts, so that it grows by its nodes alone."""
+    path = f"{path}>{node[KEY]}" if path else node[KEY]
+    own = mark(path)
+    marks = {own ^ int(k) for k in node[TEXTS]}
+    node[TEXTS] = {}
+    for c in node[CHILDREN]:
+        marks |= texts_taken(c, path)
+    return marks
 
 
 def similarity(a: list, b: list) -> int:
@@ -262,7 +260,6 @@ def merge(a: list, b: list, more: int = 1) -> None:
     a[CHARS] += b[CHARS]
     for k, n in b[TEXTS].items():
         a[TEXTS][k] = a[TEXTS].get(k, 0) + n * more if k in a[TEXTS] else n
-    _bounded(a[TEXTS])
     left, right = a[CHILDREN], b[CHILDREN]
     if [x[KEY] for x in left] == [x[KEY] for x in right]:  # the usual case needs no table
         for x, y in zip(left, right, strict=True):
@@ -306,8 +303,8 @@ def merged(wrappers: Iterator[list]) -> list | None:
     return whole
 
 
-def decided(whole: list) -> tuple[str, list[int]]:
-    """The path of the content's node, and the (path, text) marks of template texts below it."""
+def decided(whole: list) -> str:
+    """The path of the content's node."""
     def chars(node: list) -> int:
         return node[CHARS] + sum(map(chars, node[CHILDREN]))
 
@@ -323,16 +320,7 @@ def decided(whole: list) -> tuple[str, list[int]]:
         node, path = best, f"{path}>{best[KEY]}"
         if node[KEY].split(".")[0] == "article":
             break
-    marks: list[int] = []
-
-    def collect(node: list, path: str) -> None:
-        least = max(LEAST_PAGES, REPEATED * whole[PAGES])
-        marks.extend(mark(path) ^ int(k) for k, n in node[TEXTS].items() if n >= least)
-        for c in node[CHILDREN]:
-            collect(c, f"{path}>{c[KEY]}")
-
-    collect(node, path)
-    return path, marks
+    return path
 
 
 def blocks(root: Node, path: str, template: frozenset[int]) -> list[str]:
@@ -372,7 +360,7 @@ def main_text(page: str, path: str | None, template: frozenset[int]) -> str:
     root = parsed(page)
     found = blocks(root, path, template) if path else []
     if not found:
-        found = blocks(root, decided(wrapper(root))[0], frozenset())
+        found = blocks(root, decided(wrapper(root)), frozenset())
     return "\n".join(found)
 
 
@@ -381,26 +369,40 @@ def host() -> F.Column:
     return F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1), F.lit(""))
 
 
+def _signed(marks: set[int]) -> list[int]:
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in marks]
+
+
+def by_host(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """Rows with the columns of their host. ``hosts`` should be written, since it is counted."""
+    if hosts.count() <= HOSTS_MAX:
+        return rows.join(F.broadcast(hosts), "host", how)
+    return keyed_join(rows, hosts, ["host"], how)
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, path, template) of every host."""
     ddl = "host string, part long, tree string"
+    schema = pa.schema(
+        [("host", pa.string()), ("part", pa.int64()), ("tree", pa.string()), ("marks", pa.list_(pa.int64()))]
+    )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Wrappers of the task's hosts, and a row with the marks of each page."""
         from pyspark import TaskContext
 
         trees: dict[str, list] = {}
         task = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            rows = [list(trees), [task] * len(trees), [json.dumps(t) for t in trees.values()]]
-            return pa.record_batch(
-                [pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.string()), strict=True)],
-                names=["host", "part", "tree"],
-            )
+            rows = [list(trees), [task] * len(trees), [json.dumps(t) for t in trees.values()], [None] * len(trees)]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
         for batch in batches:
+            marks = []
             for name, page in zip(batch.column(0), batch.column(1), strict=True):
                 name, own = name.as_py(), wrapper(parsed(page.as_py()))
+                marks.append(_signed(texts_taken(own)))
                 if name not in trees:
                     if len(trees) >= HOSTS_AT_ONCE:
                         yield out()
@@ -410,6 +412,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 merge(trees[name], own)
                 if _size(trees[name]) > NODES_MAX:
                     _pruned(trees[name], trees[name][PAGES] / 50)
+            n = len(marks)
+            yield pa.record_batch(
+                [batch.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(marks, schema.field("marks").type)],
+                schema=schema,
+            )
         yield out()
 
     def join(table: pa.Table) -> pa.Table:
@@ -417,13 +424,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": table["host"][:1], "part": pa.array([0], pa.int64()), "tree": [json.dumps(whole)]})
 
     def decide(table: pa.Table) -> pa.Table:
-        path, template = decided(merged(json.loads(x.as_py()) for x in table["tree"]))
-        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in template]
-        return pa.table({"host": table["host"][:1], "path": [path], "template": pa.array([signed], pa.list_(pa.int64()))})
+        whole = merged(json.loads(x.as_py()) for x in table["tree"])
+        return pa.table({"host": table["host"][:1], "path": [decided(whole)], "pages": pa.array([whole[PAGES]], pa.int64())})
 
-    partial = pages.where("html IS NOT NULL").select(host().alias("host"), F.col("html").cast("string")).mapInArrow(build, ddl)
-    grouped = partial.groupBy("host", F.pmod("part", F.lit(GROUPS))).applyInArrow(join, ddl)
-    return grouped.groupBy("host").applyInArrow(decide, "host string, path string, template array<long>")
+    rows = pages.where("html IS NOT NULL").select(host().alias("host"), F.col("html").cast("string"))
+    partial = written(rows.mapInArrow(build, f"{ddl}, marks array<long>"), "partial-wrappers")
+    trees = partial.where("tree IS NOT NULL").select("host", "part", "tree")
+    grouped = trees.groupBy("host", F.pmod("part", F.lit(GROUPS))).applyInArrow(join, ddl)
+    decisions = written(grouped.groupBy("host").applyInArrow(decide, "host string, path string, pages long"), "decisions")
+    # one row for each text of a page; counts are added up in the tasks before they meet
+    seen = partial.where("marks IS NOT NULL").select("host", F.explode("marks").alias("mark"))
+    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    repeated = by_host(counts, decisions.select("host", "pages"), "inner").where(F.col("n") >= REPEATED * F.col("pages"))
+    templates = repeated.groupBy("host").agg(F.collect_list("mark").alias("template"))
+    return decisions.select("host", "path").join(templates, "host", "left")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -435,10 +449,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     known = written(wrappers(pages), "wrappers")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host().alias("host"))
-    if known.count() <= HOSTS_MAX:
-        rows = rows.join(F.broadcast(known), "host", "left")
-    else:
-        rows = keyed_join(rows, known, ["host"])
+    rows = by_host(rows, known, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

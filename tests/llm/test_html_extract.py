@@ -52,3 +52,16 @@ def test_merge_is_by_order_and_counts_pages():
     div = a[H.CHILDREN][0]
     assert [c[H.KEY] for c in div[H.CHILDREN]] == ["h1", "p", "table"] and div[H.CHILDREN][1][H.PAGES] == 2
     assert div[H.CHILDREN][1][H.TEXTS][str(H.mark("x"))] == 2
+
+
+def test_repeated_lines_are_told_from_long_articles(spark):
+    rows = []
+    for i in range(20):
+        own = [f"Paragraph {k} of page {i}" for k in range(40)]
+        body = "".join(f"<p>{x}</p>" for x in [*own[:20], "A line of every page", *own[20:]])
+        more = "<p>On half of the pages</p>" if i % 2 else ""
+        rows.append((i, f"http://long.example/{i}", f"<body><article><h1>T {i}</h1>{body}{more}<p>Read on</p></article></body>"))
+    found = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    for r in found:
+        want = [f"T {r.page_id}", *(f"Paragraph {k} of page {r.page_id}" for k in range(40))]
+        assert r.text.split("\n") == want + ["On half of the pages"] * (r.page_id % 2)
