@@ -29,7 +29,7 @@ REPEATED, LEAST_PAGES = 0.6, 4
 NAMED_SHARE, CONTENT_SHARE = 0.1, 0.7
 #: A wrapper beyond so many nodes drops those that less than one page in fifty has; they cannot be template.
 NODES_MAX = 2000
-#: Elements nested deeper are read as text of the element that is so deep.
+#: Elements nested deeper are no nodes of their own: their blocks are those of the element that is so deep.
 DEPTH_MAX = 100
 #: Wrappers a task builds at once; the rest go out before.
 HOSTS_AT_ONCE = 500
@@ -48,6 +48,8 @@ BLOCK = set(
 )
 NOT_CONTENT = set("head nav footer aside form menu dialog button fieldset".split()) | RAW
 ENDS_P = BLOCK - {"option", "optgroup", "legend"}
+#: Stands for the names of all blocks but paragraphs and headings.
+OTHERS = "*"
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = set("html body div section article main table tbody tr td center".split())
 #: An opening tag closes open ones of its own group, up to the nearest element of the second set.
@@ -109,12 +111,26 @@ def parsed(page: str) -> Node:
     """The page's tree of blocks. Inline elements leave their text behind; raw elements, comments and markup nothing."""
     root = Node("html", "html")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # where on the stack elements of a name are
     dropped_inline: list[str] = []  # open inline elements that are not content
 
     def text(piece: str) -> None:
         if piece and not dropped_inline:
             stack[-1].children.append(piece)
 
+    def names(tag: str) -> tuple[str, ...]:
+        return (tag,) if tag == "p" or tag in HEADINGS else (tag, OTHERS)
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            if len(stack) > DEPTH_MAX:
+                stack[-1].children.append(Node("hr", "hr"))  # what follows is another block
+            for name in names(stack.pop().tag):
+                places[name].pop()
+
     while match := TOKEN.search(page, at):
         text(page[at : match.start()])
         at = match.end()
@@ -132,11 +148,8 @@ def parsed(page: str) -> Node:
                 if tag not in BLOCK:
                     continue
                 dropped_inline.clear()
-            if tag in BLOCK:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        del stack[depth:]
-                        break
+            if tag in BLOCK and (depth := innermost({tag})):
+                close(depth)
             continue
         if tag in RAW:
             if not match[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
@@ -159,23 +172,22 @@ def parsed(page: str) -> Node:
             continue
         if tag in SIBLINGS:
             closes, until = SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in until:
-                    break
-                if stack[depth].tag in closes:
-                    del stack[depth:]
-                    break
+            if (depth := innermost(closes)) > innermost(until):
+                close(depth)
         if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].tag not in HEADINGS or tag not in HEADINGS:
-                    break
+            # through headings a heading ends the paragraph around them, any other block only the innermost element
+            depth = innermost({"p"})
+            if depth and depth > (innermost({OTHERS}) if tag in HEADINGS else len(stack) - 2):
+                close(depth)
+        node = _opened(tag, match[3])
         if len(stack) < DEPTH_MAX:
-            node = _opened(tag, match[3])
             stack[-1].children.append(node)
-            stack.append(node)
+        elif not node.dropped:
+            stack[-1].children.append(Node("hr", "hr"))
+            node.children = stack[-1].children
+        for name in names(tag):
+            places.setdefault(name, []).append(len(stack))
+        stack.append(node)
     text(page[at:])
     return root
 

@@ -65,3 +65,11 @@ def test_repeated_lines_are_told_from_long_articles(spark):
     for r in found:
         want = [f"T {r.page_id}", *(f"Paragraph {k} of page {r.page_id}" for k in range(40))]
         assert r.text.split("\n") == want + ["On half of the pages"] * (r.page_id % 2)
+
+
+def test_deep_elements_close_their_own_and_stay_apart():
+    deep = "<div>" * 150 + "<p>low<p>lower<nav><div>menu</div></nav><div>lowest</div>end" + "</div>" * 150
+    page = f"<body><div class=content><h1>T</h1><article><p>first</p>{deep}<p>after</p></article></div><div class=sidebar>no</div></body>"
+    assert H.main_text(page, None, frozenset()) == "first\nlow\nlower\nlowest\nend\nafter"
+    # closing tags of what is too deep leave the outer elements open, for any number of them
+    assert H.main_text("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y</p><p>z</article>", None, frozenset()) == "x\ny\nz"
