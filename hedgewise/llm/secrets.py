@@ -1,15 +1,16 @@
 """Secret scans: base rules, and a character convolutional network over every candidate and its surroundings.
 
 Candidates are long tokens that mix letters and digits. The network sees a candidate's characters with those before and
-after it. It is trained on labelled findings: what the base rules find is labelled 1; tokens with digits that are no
-candidates (numbers, addresses, versions), and candidates made of plain words, 0; other candidates have no label. Its
-logits are calibrated on findings that training has not seen, and the threshold is the highest that keeps the wanted
-recall there.
+after it, in windows that overlap over its whole length; the highest logit counts. It is trained on labelled findings: what
+the base rules find is labelled 1; tokens with digits that hold no candidates (numbers, addresses, versions), and candidates
+made of plain words, 0; other candidates have no label. Its logits are calibrated on all labelled findings of a part that
+training has not seen, and the threshold is the highest that keeps the wanted recall there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
 
@@ -23,15 +24,19 @@ from hedgewise.llm.convnet import ConvNet, Sequences, sigmoid
 from hedgewise.llm.textscan import lean, STARTS_CHAR, Texts, WORD_BY_SPACE, run_totals, slices, spans
 from hedgewise.plans import written
 
+LOG = logging.getLogger(__name__)
 KINDS = ("assign", "access", "hex", "model")
-#: Bytes of a candidate, before it and after it that the network sees.
-INSIDE, BEFORE, AFTER = 40, 20, 8
-#: Findings of each label that are fitted and calibrated on, at most; those with the least hashes.
+#: Bytes of a candidate, before it and after it in a window that the network sees, and how far apart windows begin.
+INSIDE, BEFORE, AFTER, STRIDE = 40, 20, 8, 20
+WINDOW = BEFORE + INSIDE + AFTER
+#: Windows that are scored at once.
+WINDOWS_AT_ONCE = 4096
+#: Findings of each label that are fitted on, at most; those with the least hashes.
 SAMPLE = 2000
-#: Of the labelled secrets kept for calibration, at least this share must reach the threshold.
-RECALL = 0.98
-#: Findings kept for calibration that must not reach it, as a share; where more do, the threshold rises until they don't.
-FALSE_ALARMS = 0.005
+#: Of the labelled secrets kept for calibration (one part in PARTS), at least this share must reach the threshold.
+RECALL, PARTS = 0.98, 4
+#: Bins that calibration counts logits in, for each unit, and the logits at which the bins end.
+BINS, LOGIT_MAX = 64, 100
 LEAST_CANDIDATE = 16
 
 # The base rules.
@@ -110,23 +115,37 @@ def plain_tokens(texts: Texts) -> list[tuple[int, int]]:
     return [(int(start[i]), int(end[i])) for i in np.flatnonzero(digits).tolist()]
 
 
+def all_names(token: bytes) -> bool:
+    """Whether every window of a token is a name."""
+    return all(is_name(token[at : at + INSIDE]) for at in window_starts(0, len(token)))
+
+
 def is_name(token: bytes) -> bool:
     """Whether at least half of a token is parts of three letters or more and nothing else, as in host and file names."""
     parts = re.split(rb"[^0-9A-Za-z]+", token)
     return 2 * sum(len(p) for p in parts if len(p) >= 3 and p.isalpha()) >= len(token)
 
 
+def window_starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin: every STRIDE bytes, the last one such that it ends with the candidate."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, STRIDE), last]
+
+
 def window(texts: Texts, start: int, end: int) -> bytes:
-    """A candidate's bytes with those around it, in BEFORE + INSIDE + AFTER places; 0 where there is none."""
+    """A candidate's windows, one after the other: its bytes with those around, 0 where there is none."""
     k = int(np.searchsorted(texts.bounds, start, "right")) - 1
     low, high = int(texts.bounds[k]), int(texts.bounds[k + 1])
-    data = texts.data
-    before = data[max(low, start - BEFORE) : start].tobytes().rjust(BEFORE, b"\0")
-    inside = data[start : min(end, start + INSIDE)].tobytes().ljust(INSIDE, b"\0")
-    return before + inside + data[end : min(high, end + AFTER)].tobytes().ljust(AFTER, b"\0")
+    data, out = texts.data, []
+    for at in window_starts(start, end):
+        until = min(end, at + INSIDE)
+        out.append(data[max(low, at - BEFORE) : at].tobytes().rjust(BEFORE, b"\0"))
+        out.append(data[at:until].tobytes().ljust(INSIDE, b"\0"))
+        out.append(data[until : min(high, until + AFTER)].tobytes().ljust(AFTER, b"\0"))
+    return b"".join(out)
 
 
-_INSIDE = np.zeros(BEFORE + INSIDE + AFTER, np.int32)
+_INSIDE = np.zeros(WINDOW, np.int32)
 _INSIDE[BEFORE : BEFORE + INSIDE] = 256
 
 
@@ -189,14 +208,23 @@ def scanned(docs: DataFrame) -> DataFrame:
                     return not before or most[before - 1] <= a
 
                 own = {x for x in candidates(texts) if free(*x)}
+                unsure = []  # candidates without a label; what holds one has none either
                 for a, b in sorted(own):
                     k = text_of(a)
                     seen = window(texts, a, b)
                     rows[k][2].append(points(k, a, b) | {"window": seen})
-                    if is_name(texts.data[a:b].tobytes()):
+                    if all_names(texts.data[a:b].tobytes()):
                         rows[k][3].append(seen)
+                    else:
+                        unsure.append((a, b))
+                spots = np.array(unsure, np.int64).reshape(-1, 2)
+
+                def plain(a: int, b: int, spots: np.ndarray = spots) -> bool:
+                    before = int(np.searchsorted(spots[:, 0], b))
+                    return not before or spots[before - 1, 1] <= a
+
                 for a, b in plain_tokens(texts):
-                    if free(a, b) and (a, b) not in own:
+                    if free(a, b) and (a, b) not in own and plain(a, b):
                         rows[text_of(a)][3].append(window(texts, a, b))
                 kinds = [[sum(s["kind"] == kind for s in r[0]) for r in rows] for kind in range(3)]
                 columns = [batch.column(0).slice(texts.first, n), *kinds, *zip(*rows, strict=True)]
@@ -209,57 +237,98 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 class Detector:
-    """The network, its threshold and the scale of its logits."""
+    """The network, its threshold and, of findings kept for calibration, the shares of secrets and of others that reach it."""
 
-    def __init__(self, net: ConvNet | None, threshold: float):
-        self.net, self.threshold = net, threshold
+    def __init__(self, net: ConvNet | None, threshold: float = 0.0, recall: float = 0.0, false_alarms: float = 0.0):
+        self.net, self.threshold, self.recall, self.false_alarms = net, threshold, recall, false_alarms
+
+    def logits(self, windows: list[bytes]) -> np.ndarray:
+        """Of candidates: the highest logit of their windows."""
+        data = b"".join(windows)
+        step = WINDOW * WINDOWS_AT_ONCE
+        z = np.concatenate([self.net.logits(sequences([data[at : at + step]])) for at in range(0, len(data), step)])
+        starts = np.cumsum([0, *(len(w) // WINDOW for w in windows[:-1])])
+        return np.maximum.reduceat(z, starts)
 
     def scores(self, windows: list[bytes]) -> np.ndarray:
         """0 to 1; a candidate counts as a secret from one half on."""
         if self.net is None or not windows:
             return np.zeros(len(windows))
-        return sigmoid(self.net.logits(sequences(windows)) - self.threshold)
+        return sigmoid(self.logits(windows) - self.threshold)
 
 
-def threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The highest logit that RECALL of the secrets reach, raised where more than FALSE_ALARMS of the others reach it."""
-    keep = float(np.quantile(z[y == 1], 1 - RECALL, method="lower"))
-    return max(keep, float(np.quantile(z[y == 0], 1 - FALSE_ALARMS, method="higher")) + 1e-3)
+def threshold(bins: np.ndarray, secrets: np.ndarray, others: np.ndarray) -> tuple[float, float, float]:
+    """The highest logit that RECALL of the secrets reach, from counts by bin; the share that does, and that of the others."""
+    order = np.argsort(-bins)
+    bins, secrets, others = bins[order], np.cumsum(secrets[order]), np.cumsum(others[order])
+    k = int(np.searchsorted(secrets, RECALL * secrets[-1] - 1e-9))
+    return float(bins[k]) / BINS, float(secrets[k] / secrets[-1]), float(others[k] / max(1, others[-1]))
 
 
 def fitted(scans: DataFrame) -> Detector:
-    """Train on at most SAMPLE findings of each label, found anywhere in the corpus; without both labels nothing is added."""
+    """Train on at most SAMPLE findings of each label, found anywhere in the corpus, and calibrate on all of those that are
+    held out; without both labels nothing is added."""
     labelled = scans.select(F.explode("found").alias("window"), F.lit(1).alias("secret")).unionByName(
         scans.select(F.explode("others").alias("window"), F.lit(0).alias("secret"))
     )
-    labelled = labelled.groupBy("secret", "window").agg(F.count(F.lit(1)).alias("n"))
+    labelled = written(labelled.groupBy("secret", "window").agg(F.count(F.lit(1)).alias("n")), "labelled")
     part = F.xxhash64("window")
+    held_out = F.pmod(part, F.lit(PARTS)) == 0
+    # of a secret its beginning, of another finding any window
+    place = F.when(F.col("secret") == 1, 0).otherwise(F.pmod(part, F.floor(F.length("window") / WINDOW)))
+    shown = labelled.where(~held_out).withColumn("part", part)
+    shown = shown.withColumn("window", F.substring("window", place.cast("int") * WINDOW + 1, F.lit(WINDOW)))
     rows = [
         r
         for secret in (1, 0)
-        for r in labelled.where(F.col("secret") == secret).orderBy(part, "window").limit(SAMPLE).collect()
+        for r in shown.where(F.col("secret") == secret).orderBy("part", "window").limit(SAMPLE).collect()
     ]
     y = np.array([r.secret for r in rows])
     if not len(y) or y.min() == y.max():
-        return Detector(None, 0.0)
+        return Detector(None)
     windows = [bytes(r.window) for r in rows]
     rng = np.random.default_rng(11)
-    # a secret is one wherever it stands: each labelled one is also shown in the surroundings of another finding
+    # a secret is one wherever it stands: each labelled one is also shown in the surroundings of another finding, and its
+    # end behind another finding's token
     where = rng.permutation(np.flatnonzero(y == 0))
     moved = [
         windows[where[i % len(where)]][:BEFORE] + w[BEFORE : BEFORE + INSIDE] + windows[where[i % len(where)]][-AFTER:]
         for i, w in enumerate(windows)
         if y[i]
     ]
-    test = np.arange(len(y)) % 4 == 0
-    shown = [w for w, t in zip(windows, test, strict=True) if not t] + [m for i, m in enumerate(moved) if i % 4]
-    truth = np.concatenate([y[~test], np.ones(len(shown) - int((~test).sum()), int)])
+    behind = [_behind(windows[where[i % len(where)]], w) for i, w in enumerate(windows) if y[i]]
+    truth = np.concatenate([y, np.ones(len(moved) + len(behind), int)])
     net = ConvNet(512, 12, (3, 5, 9), 16)
-    net.fit(sequences(shown), truth.astype(np.float32), epochs=8)
-    z, y = net.logits(sequences([w for w, t in zip(windows, test, strict=True) if t])), y[test]
-    if not len(y) or y.min() == y.max():
-        return Detector(None, 0.0)
-    return Detector(net, threshold(z, y))
+    net.fit(sequences(windows + moved + behind), truth.astype(np.float32), epochs=8)
+    counts = _counted(labelled.where(held_out), net)
+    if not len(counts) or not counts[:, 1].any():  # hardly any findings: no secret was held out
+        counts = _counted(labelled, net)
+    found = Detector(net, *threshold(*counts.T))
+    LOG.info("threshold %.3f: recall %.4f, false alarms %.5f", found.threshold, found.recall, found.false_alarms)
+    return found
+
+
+def _behind(other: bytes, secret: bytes) -> bytes:
+    """The window of a token that ends with the last STRIDE bytes of a secret."""
+    end = secret[BEFORE : BEFORE + INSIDE].rstrip(b"\0")[-STRIDE:]
+    token = other[: BEFORE + INSIDE].rstrip(b"\0") + b"/" + end
+    return token[-BEFORE - INSIDE :].rjust(BEFORE + INSIDE, b"\0") + other[-AFTER:]
+
+
+def _counted(labelled: DataFrame, net: ConvNet) -> np.ndarray:
+    """(bin of the logit, secrets, others) over all findings."""
+    shared = labelled.sparkSession.sparkContext.broadcast(Detector(net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                z = shared.value.logits(batch.column("window").to_pylist())
+                bins = np.floor(np.clip(z, -LOGIT_MAX, LOGIT_MAX) * BINS).astype(np.int64)
+                yield pa.record_batch([batch.column("secret"), pa.array(bins)], names=["secret", "bin"])
+
+    bins = labelled.select("secret", "window").mapInArrow(lean(run), "secret int, bin long")
+    counts = bins.groupBy("bin").agg(F.count_if(F.col("secret") == 1), F.count_if(F.col("secret") == 0))
+    return np.array([tuple(r) for r in counts.collect()], np.int64)  # as many rows as bins
 
 
 def _joined(found: list[dict]) -> str:

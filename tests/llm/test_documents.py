@@ -261,3 +261,26 @@ def test_threshold_of_bins():
     bins, toxic, clean = np.array([0, 5, 9, 9]), np.array([0, 1, 2, 1]), np.array([7, 0, 1, 0])
     # the best cut keeps bins 5 and 9: between the lower end of bin 5 and the upper end of bin 0
     assert toxicity.best_threshold(bins, toxic, clean) == (5 + 1) / 2 / toxicity.BINS
+
+
+def test_keys_at_the_end_of_long_tokens_are_found(spark):
+    rng = random.Random(21)
+    path = "/".join(words(rng, 14))
+    key = "9f1c03b77ae25d08c1"
+    assert len(path) > 50
+    rows = [(1000 * seed + i, t) for seed in range(4, 8) for i, t in secret_rows(seed)]
+    rows += [(600, f"look at {path}/{key} there"), (601, f"look at {path}/{path}1 there")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.findings(frame).collect()}
+    assert found[600].spans == f"model:8:{9 + len(path) + len(key)}" and found[601].spans == ""
+    assert key not in secrets.redacted(frame).where("doc_id = 600").first().text
+    texts = next(secrets.slices(pa.array([rows[-2][1]])))
+    inside = [w[20:60] for w in re.findall(b"(?s).{68}", secrets.window(texts, 8, 8 + len(path) + 19))]
+    assert any(key.encode() in w for w in inside)
+
+
+def test_recall_binds_the_threshold():
+    bins, found, others = np.array([64, 0, -64, 128]), np.array([50, 45, 5, 0]), np.array([10, 100, 500, 0])
+    assert secrets.threshold(bins, found, others) == (-1.0, 1.0, 1.0)
+    found[:] = 60, 39, 1, 0
+    assert secrets.threshold(bins, found, others) == (0.0, 0.99, pytest.approx(110 / 610))
