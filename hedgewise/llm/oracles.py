@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hedgewise.llm import interaction
 from hedgewise.llm.decontam import WINDOW
 from hedgewise.llm.licenses import AGREE, BASE, KEYS, RARE, SEPARATORS, TEMPLATES
 from hedgewise.llm.queries import ORACLES
@@ -168,3 +169,47 @@ SELECT m.conv_id, m.turn, m.role, body, coalesce(n_passages, 0) AS n_passages, c
 FROM m LEFT JOIN reply r ON r.conv_id = m.conv_id AND r.turn = m.turn AND r.role IS NOT DISTINCT FROM m.role AND r.text = m.text
 LEFT JOIN path p ON p.conv_id = m.conv_id AND p.turn = m.turn
 """
+
+ORACLES["op11_filter_interaction"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {{
+    'A': len(ws) < {interaction.FEW_WORDS},
+    'B': 100 * len(list_distinct(ws)) < {interaction.DISTINCT_PERCENT} * len(ws),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {interaction.CAPITAL_PERCENT} * length(text),
+    'D': regexp_matches(text, '{interaction.SYMBOLS}'),
+    'E': EXISTS (SELECT 1 FROM t o WHERE o.text = w.text AND o.doc_id < w.doc_id)
+  }} AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), f AS (SELECT unnest(string_split('A B C D E', ' ')) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), combos AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: struct_extract(fails, 'A') AND x = 'A' OR struct_extract(fails, 'B') AND x = 'B'
+    OR struct_extract(fails, 'C') AND x = 'C' OR struct_extract(fails, 'D') AND x = 'D' OR struct_extract(fails, 'E') AND x = 'E') AS failed,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d GROUP BY ALL
+), steps AS (
+  SELECT part, filter_order, step, n, good, toxic, failed, substr(filter_order, step, 1) AS own,
+    list_has_any(failed, list_filter(string_split(filter_order, ''), lambda x, i: i < step)) AS earlier
+  FROM combos, orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    coalesce(sum(n) FILTER (NOT earlier AND NOT list_contains(failed, own)), 0) AS kept,
+    coalesce(sum(n) FILTER (NOT earlier AND list_contains(failed, own)), 0) AS removed,
+    coalesce(sum(n) FILTER (earlier AND list_contains(failed, own)), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = [own]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT earlier AND list_contains(failed, own)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT earlier AND list_contains(failed, own)), 0) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""

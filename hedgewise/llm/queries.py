@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hedgewise.llm import (
     decontam,
     html_extract,
+    interaction,
     licenses,
     neardup,
     packing,
@@ -113,4 +114,9 @@ def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 from hedgewise.llm import oracles  # noqa: E402, F401  adds to ORACLES
