@@ -59,17 +59,19 @@ def keyed_join(
         return many.join(one, keys, how)
     if fits_in_broadcast(one, max_bytes):
         return many.join(F.broadcast(one), keys, how)
-    hot = F.broadcast(hot_keys(many, keys))
+    # names that no caller's column has
+    parts, part = "dealt over parts", "dealt to part"
+    hot = F.broadcast(hot_keys(many, keys).withColumnRenamed("parts", parts))
     others = [F.col(c) for c in many.columns if c not in keys] or [F.lit(0)]
     dealt = (
         many.join(hot, keys, "left")
-        .withColumn("parts", F.when(reduce(or_, [F.col(k).isNull() for k in keys]), HOT_SHARE).otherwise(F.coalesce("parts", F.lit(1))))
-        .withColumn("part", F.pmod(F.xxhash64(*others), "parts").cast("int"))
-        .drop("parts")
+        .withColumn(parts, F.when(reduce(or_, [F.col(k).isNull() for k in keys]), HOT_SHARE).otherwise(F.coalesce(parts, F.lit(1))))
+        .withColumn(part, F.pmod(F.xxhash64(*others), parts).cast("int"))
+        .drop(parts)
     )
     copied = (
         one.join(hot, keys, "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        .drop("parts")
+        .withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+        .drop(parts)
     )
-    return dealt.join(copied, [*keys, "part"], how).drop("part")
+    return dealt.join(copied, [*keys, part], how).drop(part)
