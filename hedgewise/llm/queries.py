@@ -16,6 +16,7 @@ from hedgewise.llm import (
     packing,
     quality,
     quotes,
+    repeats,
     secrets,
     shards,
     toxicity,
@@ -119,4 +120,9 @@ def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 from hedgewise.llm import oracles  # noqa: E402, F401  adds to ORACLES
