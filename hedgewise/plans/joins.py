@@ -46,13 +46,14 @@ def keyed_join(
     keys: Sequence[str],
     how: str = "left",
     max_bytes: int = BROADCAST_MAX_BYTES,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` on ``keys`` without letting a hot key land in one task.
 
     ``one`` is broadcast when its size is within bounds. Otherwise rows of the hot keys
     are dealt over several parts by a hash of the row, and the matching rows of ``one``
     are copied once per part; all other keys take part 0 only. Rows with a NULL in a key match nothing and are dealt over
-    HOT_SHARE parts. A stream is joined plainly: it cannot be counted, and its batches are small.
+    HOT_SHARE parts. A caller that has counted its keys gives ``hot`` (keys, parts), as ``hot_keys`` would. A stream is joined plainly: it cannot be counted, and its batches are small.
     """
     keys = list(keys)
     if many.isStreaming:
@@ -61,7 +62,7 @@ def keyed_join(
         return many.join(F.broadcast(one), keys, how)
     # names that no caller's column has
     parts, part = "dealt over parts", "dealt to part"
-    hot = F.broadcast(hot_keys(many, keys).withColumnRenamed("parts", parts))
+    hot = F.broadcast((hot_keys(many, keys) if hot is None else hot).withColumnRenamed("parts", parts))
     others = [F.col(c) for c in many.columns if c not in keys] or [F.lit(0)]
     dealt = (
         many.join(hot, keys, "left")
