@@ -67,13 +67,14 @@ class DifferentTexts:
     """One row for each different text that can hold a window, bucketed by fingerprint: text moves between machines once.
 
     Copies are dropped inside tasks before the shuffle, so of a text that a third of all rows share each task sends one.
+    There are at least as many buckets as a shuffle has partitions: with fewer, joins would shuffle the texts anew.
     """
 
     def __init__(self, rows: DataFrame, n_bytes: int):
         self.spark = rows.sparkSession
         path = scratch_path(self.spark, "texts")
         self.name = "hedgewise_texts_" + path.rsplit("-", 1)[-1]
-        buckets = max(8, math.ceil(n_bytes / BUCKET_BYTES))
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BUCKET_BYTES))
         texts = rows.where(F.col("n_bytes") >= LENGTH).select(*ID, "text")
         schema = "k1 long, k2 long, text string"
         (

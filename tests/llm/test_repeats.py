@@ -104,3 +104,16 @@ def test_levels_merge_geometrically(spark):
     again = repeats.SuffixLevels(spark, levels.paths)
     hits = {r.key: (r.least, r.most) for r in again.add(spark.createDataFrame([(5, 1), (70, 9), (200, 0)], "key long, cover long")).collect()}
     assert hits == {5: (1, 5), 70: (0, 9)}
+
+
+def test_joins_leave_the_texts_where_they_are(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    texts = repeats.DifferentTexts(repeats.identified(docs), 0)
+    plan = texts.joined(texts.rows().groupBy("k1", "k2").agg({"text": "max"}))._jdf.queryExecution().executedPlan().toString()
+    texts.forget()
+    assert "Exchange" not in plan
+    per_text = docs.selectExpr("doc_id AS k1", "doc_id AS k2")
+    texts = repeats.DifferentTexts(repeats.identified(docs), 0)
+    plan = texts.joined(per_text)._jdf.queryExecution().executedPlan().toString()
+    texts.forget()
+    assert plan.count("Exchange hashpartitioning") == 1
