@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,12 @@ ON_EDGE = 1e-9
 FACTS_TYPE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("status", "kind")]
     + [T.StructField(n, T.DoubleType()) for n in ("area", "length", "minx", "miny", "maxx", "maxy")]
-    + [T.StructField("is_box", T.BooleanType()), T.StructField("fault", T.StringType())]
+    + [T.StructField("is_box", T.BooleanType())]
+)
+
+_POINT_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in "xy"])
+RINGS_TYPE = T.ArrayType(
+    T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ring", T.IntegerType()), T.StructField("points", T.ArrayType(_POINT_TYPE))])
 )
 
 
@@ -214,97 +220,21 @@ def _length_outside(line: np.ndarray, region: np.ndarray) -> float:
     return total
 
 
-# -- validity ------------------------------------------------------------------------
-
-
-def _ring_fault(xy: np.ndarray):
-    if len(xy) < 4 or not (xy[0] == xy[-1]).all():
-        return "ring is not closed", xy[0] if len(xy) else (0.0, 0.0)
-    keep = np.concatenate([[True], (np.diff(xy, axis=0) != 0).any(1)])
-    xy = xy[keep]
-    n = len(xy) - 1
-    if n < 3:
-        return "ring has too few points", xy[0]
-    origin = xy[0]
-    p = xy - origin
-    e = np.hstack([p[:-1], p[1:]])
-    d = e[:, 2:] - e[:, :2]
-    nxt = np.roll(d, -1, axis=0)
-    turn = d[:, 0] * nxt[:, 1] - d[:, 1] * nxt[:, 0]
-    spike = (turn == 0) & ((d * nxt).sum(1) < 0)
-    if spike.any():
-        return "ring doubles back on itself", e[int(spike.argmax()), 2:] + origin
-
-    def side(o, q, r):
-        return (q[..., 0] - o[..., 0]) * (r[..., 1] - o[..., 1]) - (q[..., 1] - o[..., 1]) * (r[..., 0] - o[..., 0])
-
-    step = max(1, CELL_LIMIT // n)
-    for start in range(0, n, step):
-        i = np.arange(start, min(n, start + step))[:, None]
-        j = np.arange(n)[None, :]
-        a, b = p[i], p[i + 1]
-        c, f = p[j], p[(j + 1)]
-        s1, s2, s3, s4 = side(a, b, c), side(a, b, f), side(c, f, a), side(c, f, b)
-        apart = (j > i + 1) & ~((i == 0) & (j == n - 1))
-        crosses = (s1 * s2 <= 0) & (s3 * s4 <= 0)
-        flat = (s1 == 0) & (s2 == 0)
-        near = (
-            (np.minimum(a, b) <= np.maximum(c, f)).all(-1) & (np.minimum(c, f) <= np.maximum(a, b)).all(-1)
-        )
-        bad = apart & crosses & (~flat | near) & near
-        if bad.any():
-            k, m = np.argwhere(bad)[0]
-            i0, j0 = int(i[k, 0]), int(m)
-            den = (e[i0, 2] - e[i0, 0]) * (e[j0, 3] - e[j0, 1]) - (e[i0, 3] - e[i0, 1]) * (e[j0, 2] - e[j0, 0])
-            where = e[j0, :2]
-            if den != 0:
-                s = (
-                    (e[j0, 0] - e[i0, 0]) * (e[j0, 3] - e[j0, 1]) - (e[j0, 1] - e[i0, 1]) * (e[j0, 2] - e[j0, 0])
-                ) / den
-                where = e[i0, :2] + s * (e[i0, 2:] - e[i0, :2])
-            return "outline crosses itself", where + origin
-    if _ring_area(xy) == 0:
-        return "ring encloses nothing", xy[0]
-    return None
-
-
-def _fault(kind: str, parts) -> str | None:
-    """First fault of an area shape with its location."""
-    if kind not in (POLYGON, MULTIPOLYGON):
-        return None
-    found = None
-    for rings in parts:
-        for ring in rings:
-            found = found or _ring_fault(ring)
-        if found is None and len(rings) > 1:
-            shell = _edges([rings[:1]])
-            for hole in rings[1:]:
-                out = ~_inside(shell, hole)
-                if out.any():
-                    found = ("hole lies outside its shell", hole[int(out.argmax())])
-    if found is None and len(parts) > 1:
-        outlines = [_edges([rings]) for rings in parts]
-        for i in range(1, len(outlines)):
-            if _overlap(outlines[i], np.vstack(outlines[:i])) > ON_EDGE:
-                found = ("parts overlap", parts[i][0][0])
-                break
-    if found is None:
-        return None
-    return f"{found[0]} at {found[1][0]:.2f} {found[1][1]:.2f}"
+# -- facts ------------------------------------------------------------------------------
 
 
 def _facts(data):
     if data is None:
-        return ("missing", None, None, None, None, None, None, None, None, None)
+        return ("missing", None, None, None, None, None, None, None, None)
     try:
         kind, parts = _parts(data)
         points = np.vstack([xy for rings in parts for xy in rings]) if parts else np.empty((0, 2))
         if len(points) and not np.isfinite(points).all():
             raise ValueError("coordinates are not finite")
     except (ValueError, KeyError, IndexError, struct.error):
-        return ("unreadable", None, None, None, None, None, None, None, None, None)
+        return ("unreadable", None, None, None, None, None, None, None, None)
     if not len(points):
-        return ("missing", kind, None, None, None, None, None, None, None, None)
+        return ("missing", kind, None, None, None, None, None, None, None)
     surface = kind in (POLYGON, MULTIPOLYGON)
     low, high = points.min(0), points.max(0)
     return (
@@ -312,7 +242,7 @@ def _facts(data):
         _area(parts) if surface else 0.0,
         _length(_edges(parts)) if kind in (LINESTRING, MULTILINESTRING) else 0.0,
         float(low[0]), float(low[1]), float(high[0]), float(high[1]),
-        surface and _is_box(parts), _fault(kind, parts),
+        surface and _is_box(parts),
     )
 
 
@@ -366,20 +296,43 @@ def _plain_facts(wkb: pd.Series) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 @F.pandas_udf(FACTS_TYPE)
 def geometry_facts(wkb: pd.Series) -> pd.DataFrame:
-    """Readability, kind, size, envelope and first fault of each geometry, in one pass."""
+    """Readability, kind, size and envelope of each geometry, in one pass."""
     plain, done = _plain_facts(wkb)
-    status, fault = np.where(done, "ok", None).astype(object), np.full(len(wkb), None, object)
+    status = np.where(done, "ok", None).astype(object)
     is_box = plain["is_box"].astype(object)
     for i in np.flatnonzero(~done):
         found = dict(zip(FACTS_TYPE.names, _facts(wkb.iat[i])))
-        status[i], fault[i], is_box[i] = found["status"], found["fault"], found["is_box"]
+        status[i], is_box[i] = found["status"], found["is_box"]
         for name in ("kind", "area", "length", "minx", "miny", "maxx", "maxy"):
             if found[name] is not None:
                 plain[name][i] = found[name]
-    columns = {**plain, "status": status, "fault": fault, "is_box": is_box}
+    columns = {**plain, "status": status, "is_box": is_box}
     return pd.DataFrame({name: columns[name] for name in FACTS_TYPE.names}).replace({np.nan: None})
 
 
+@F.arrow_udf(RINGS_TYPE)
+def rings(wkb: pa.Array) -> pa.Array:
+    """Every ring, line or point of a shape with its coordinates; nothing for a shape that is missing or unreadable."""
+    rows, part, ring, sizes, blocks = [0], [], [], [0], [np.empty((0, 2))]
+    for value in wkb:
+        try:
+            parts = _parts(value.as_py())[1] if value.is_valid else []
+        except (ValueError, KeyError, IndexError, struct.error):
+            parts = []
+        for p, own in enumerate(parts):
+            for r, xy in enumerate(own):
+                part.append(p)
+                ring.append(r)
+                sizes.append(len(xy))
+                blocks.append(xy)
+        rows.append(len(part))
+    xy = np.vstack(blocks)
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    points = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), points)
+    each = pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array(ring, pa.int32()), points], ["part", "ring", "points"])
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), each)
+
+
 def _box_edges(minx, miny, maxx, maxy) -> np.ndarray:
     xy = np.array([[minx, miny], [maxx, miny], [maxx, maxy], [minx, maxy], [minx, miny]])
     return np.hstack([xy[:-1], xy[1:]])
@@ -487,6 +440,17 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)) / 2
 
 
+def polygon_area(rings: Column) -> Column:
+    """Area of a polygon given as array<ring>: its outline less its holes."""
+    holes = F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), ring_area)
+    return ring_area(F.get(rings, 0)) - F.aggregate(holes, F.lit(0.0), lambda total, hole: total + hole)
+
+
+def multipolygon_area(parts: Column) -> Column:
+    """Area of a MULTIPOLYGON given as array<polygon>; a polygon is array<ring>, a ring array<struct<x,y>>."""
+    return F.aggregate(F.transform(parts, polygon_area), F.lit(0.0), lambda total, part: total + part)
+
+
 def path_length(path: Column) -> Column:
     """Length of a line given as array<struct<x,y>>."""
     steps = F.zip_with(
@@ -496,6 +460,11 @@ def path_length(path: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda total, step: total + step)
 
 
+def multipath_length(paths: Column) -> Column:
+    """Length of a MULTILINESTRING given as array<line>."""
+    return F.aggregate(F.transform(paths, path_length), F.lit(0.0), lambda total, path: total + path)
+
+
 SQL_NAMES = {
     "habitat_area": area,
     "habitat_overlap_area": overlap_area,
