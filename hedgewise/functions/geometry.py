@@ -427,6 +427,36 @@ def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
     return _POINT([x, y])
 
 
+def _wkb(kind: int, body: bytes) -> bytes:
+    return struct.pack("<BI", 1, kind) + body
+
+
+def _many(items) -> bytes:
+    return struct.pack("<I", len(items)) + b"".join(items)
+
+
+def _ring_bytes(points) -> bytes:
+    return _many([struct.pack("<2d", p["x"], p["y"]) for p in points])
+
+
+@F.udf(T.BinaryType(), useArrow=True)
+def multipolygon_wkb(parts) -> bytes:
+    """A MULTIPOLYGON from array<polygon>; a polygon is array<ring>, a ring array<struct<x,y>>."""
+    return _wkb(6, _many([_wkb(3, _many([_ring_bytes(r) for r in rings])) for rings in parts]))
+
+
+@F.udf(T.BinaryType(), useArrow=True)
+def linestring_wkb(points) -> bytes:
+    """A LINESTRING from array<struct<x,y>>."""
+    return _wkb(2, _ring_bytes(points))
+
+
+@F.udf(T.BinaryType(), useArrow=True)
+def polygon_wkb(rings) -> bytes:
+    """A POLYGON from array<ring>."""
+    return _wkb(3, _many([_ring_bytes(r) for r in rings]))
+
+
 # -- native measures ---------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from hedgewise.operators import spatial as sp
 from hedgewise.operators import structure_rules as st
 from hedgewise.operators import validate as va
 from hedgewise.plans import literal_table
+from hedgewise.sources import gpkg
 from workload import sql as q
 from workload import tables as t
 from workload.pricing import rounded
@@ -446,6 +449,32 @@ def native_measures(spark, folder):
     )
 
 
+def at(x, y) -> Column:
+    """A place with x and y."""
+    return F.struct(*[(c if isinstance(c, Column) else F.lit(float(c))).cast("double").alias(n) for n, c in (("x", x), ("y", y))])
+
+
+@query(
+    "multipart_measures",
+    """SELECT l_orderkey AS site_id, l_linenumber, l_partkey, l_suppkey,
+  floor((l_quantity * 10.0 - 0.5 * 2.0 + l_quantity * l_linenumber / 2.0) * 1e3 + 0.5) / 1e3 AS area_m2,
+  floor((sqrt(l_quantity * l_quantity + 1.0) + l_linenumber + sqrt(l_quantity * l_quantity + 9.0)) * 1e3 + 0.5) / 1e3 AS length_m
+FROM lineitem""",
+)
+def multipart_measures(spark, folder):
+    """A MULTIPOLYGON with a hole, and a MULTILINESTRING, measured from coordinate arrays without leaving the JVM."""
+    w, h = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    box = F.array(at(0, 0), at(w, 0), at(w, 10), at(0, 10), at(0, 0))
+    hole = F.array(at(0.25, 5), at(0.75, 5), at(0.75, 7), at(0.25, 7), at(0.25, 5))
+    triangle = F.array(at(100, 0), at(w + 100, 0), at(100, h), at(100, 0))
+    parts = F.array(F.array(box, hole), F.array(triangle))
+    paths = F.array(F.array(at(0, 0), at(w, 1), at(w, h + 1)), F.array(at(5, 5), at(w + 5, 8)))
+    return t.load(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("site_id"), "l_linenumber", "l_partkey", "l_suppkey",
+        rounded(g.multipolygon_area(parts), 3).alias("area_m2"), rounded(g.multipath_length(paths), 3).alias("length_m"),
+    )
+
+
 # -- attributes ------------------------------------------------------------------------
 
 
@@ -568,6 +597,116 @@ def validate_submissions(spark, folder):
     return found.groupBy("site_id", "code").agg(F.count(F.lit(1)).alias("violations"))
 
 
+def roofed(width: Column) -> Column:
+    """The ring of a boundary with a low roof over its whole width."""
+    return F.array(at(0, 0), at(width, 0), at(width, 50), at(width / 2, 60), at(0, 50), at(0, 0))
+
+
+def every_layer(spark, folder) -> va.Submission:
+    """Submissions in the template's own types (parcels of two parts under a roofed boundary), with rivers, hard structures, an
+    outline, and faults of files, boundaries, parcels and lines planted by site."""
+    base = submission(spark, folder)
+    sites = base.sites
+    rows = t.placed(t.parcels(spark, folder))
+    counts = t.load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("site_id")).agg((F.count(F.lit(1)) * 100.0).alias("w"))
+    site, n = F.col("site_id"), F.col("n")
+    x0, x1 = (n - 1) * 100.0, n * 100.0
+    end = x1 + F.when(F.col("l_quantity") % 10 == 0, 1.0).otherwise(0.0)
+    lower = F.array(at(x0, 0), at(x1, 0), at(x0, 50), at(x0, 0))
+    upper = F.array(at(x1, 0), at(end, 0), at(end, 50), at(x0, 50), at(x1, 0))
+    upper = F.when(end == x1, F.array(at(x1, 0), at(x1, 50), at(x0, 50), at(x1, 0))).otherwise(upper)
+    whole = F.array(at(x0, 0), at(x1, 0), at(x1, 50), at(x0, 50), at(x0, 0))
+    parcel = F.when((site % 47 == 0) & (n == 1), F.array(F.array(whole), F.array(lower))).otherwise(F.array(F.array(lower), F.array(upper)))
+    tip = x1 + F.col("l_linenumber") - 4.0
+    spot, broken = g.point_wkb(x0, F.lit(1.0)), F.lit(b"\x01\x02\x00").cast("binary")
+    river = (
+        F.when(site % 23 == 0, spot).when((site % 31 == 0) & (n == 1), broken).when((site % 29 == 0) & (n == 2), spot)
+        .otherwise(g.linestring_wkb(F.array(at(x0, 25), at(x0 + 50.0, 40), at(tip, 25))))
+    )
+    hedge = g.linestring_wkb(F.array(at(x0, 25), at(x0 + 10.0, 25), at(tip, 25)))
+
+    def layer(name: str, shape: Column) -> Column:
+        return F.struct(F.lit(name).alias("layer"), shape.alias("geometry"))
+
+    drawn = rows.withColumn("l", F.explode(F.array(layer("Habitats", g.multipolygon_wkb(parcel)), layer("Rivers", river), layer("Hedgerows", hedge))))
+    drawn = drawn.select("site_id", "l.layer", n.alias("feature_id"), F.col("parcel_ref").alias("feature_ref"), "l.geometry")
+    w = F.col("w")
+    bow = F.array(at(0, 0), at(w, 50), at(w, 0), at(0, 50), at(0, 0))
+    line = F.when(site % 37 == 0, broken).otherwise(g.polygon_wkb(F.array(F.when(site % 43 == 0, bow).otherwise(roofed(w)))))
+    hard = F.array(at(w - 5.0, 10), at(w + 5.0, 10), at(w + 5.0, 20), at(w, 20), at(w, 30), at(w - 5.0, 30), at(w - 5.0, 10))
+    single = counts.withColumn(
+        "l", F.explode(F.array(layer("Red Line Boundary", line), layer("iggis", g.polygon_wkb(F.array(hard)))))
+    ).where("l.layer <> 'iggis' OR site_id % 5 = 0")
+    single = single.select("site_id", "l.layer", F.lit(1).cast("long").alias("feature_id"), F.lit(None).cast("string").alias("feature_ref"), "l.geometry")
+    features = drawn.unionByName(single).withColumns(
+        {
+            "stage": F.lit("baseline"), "habitat_kind": F.when(F.col("layer") == "Habitats", lk.AREA).otherwise("tree"),
+            **{c: F.lit(None).cast("string") for c in ("base_name", "prop_name", "advance_raw", "delay_raw")},
+        }
+    )
+    outline = F.array(at(-10, -10), at(450, -10), at(450, 500), at(450, 1000), at(-10, 1000), at(-10, -10))
+    outlines = spark.range(1).select(F.lit("England").alias("outline"), g.polygon_wkb(F.array(outline)).alias("geometry"))
+    head = F.concat(F.lit(gpkg.SQLITE_MAGIC), F.lit(bytes(52)), F.when(site % 61 == 0, F.lit(b"\x00\x00\x00\x00")).otherwise(F.lit(gpkg.GPKG_STAMP)))
+    files = sites.withColumns(
+        {
+            "content": F.when(site % 53 == 0, F.lit(b"PK\x03\x04")).otherwise(head),
+            "path": F.concat(F.lit("up/"), F.when(site % 59 == 0, F.repeat(F.lit("long"), 70)).otherwise(site.cast("string")), F.lit(".gpkg")),
+            "length": F.lit(100).cast("long"),
+        }
+    )
+    stamped = files.withColumn("code", gpkg.stamp_code(F.col("content"))).where("code IS NOT NULL").select("site_id", "stage", "code")
+    named = lk.keyed_join(sites.withColumn("path", F.concat(F.lit("up/"), F.repeat(F.lit("long"), 70), F.lit(".gpkg"))).where(site % 59 == 0),
+                          gpkg.metadata_faults(files, 1 << 30, 255).select("path", "code").distinct(), ["path"], "inner")
+    plain = base.layers.where("table_name <> 'iggis'")
+    return replace(
+        base, features=features, layers=plain, outlines=outlines,
+        file_faults=stamped.unionByName(named.select("site_id", "stage", "code")),
+    )
+
+
+EVERY_LAYER = f"""
+WITH {q.PARCELS},
+k AS (SELECT site_id, count(*) AS k, count(*) FILTER (n = 2) > 0 AS two FROM parcels GROUP BY 1),
+ok AS (SELECT * FROM k WHERE site_id % 53 <> 0 AND site_id % 59 <> 0 AND site_id % 61 <> 0),
+lined AS (SELECT * FROM ok WHERE site_id % 37 <> 0 AND site_id % 43 <> 0),
+p AS (SELECT p.*, ok.k, l_quantity % 10 = 0 AS reaches, NOT (p.site_id % 47 = 0 AND n = 1) AS legal FROM parcels p JOIN ok ON ok.site_id = p.site_id),
+beyond AS (SELECT p.*, n * 100.0 + l_linenumber - 4.0 AS tip, p.k * 100.0 AS w FROM p JOIN lined l ON l.site_id = p.site_id),
+hedge AS (SELECT site_id, greatest(0.0, tip - w) AS m FROM beyond),
+river AS (SELECT site_id, CASE WHEN tip > w THEN (tip - w) / (tip - (n - 1) * 100.0 - 50.0)
+    * sqrt((tip - (n - 1) * 100.0 - 50.0) * (tip - (n - 1) * 100.0 - 50.0) + 225.0) ELSE 0.0 END AS m
+  FROM beyond WHERE site_id % 23 <> 0 AND site_id % 31 <> 0 AND NOT (site_id % 29 = 0 AND n = 2)),
+hits AS (
+  SELECT site_id, 'GPKG_INVALID_FILE' AS code, 1 AS violations FROM k WHERE site_id % 53 = 0
+  UNION ALL SELECT site_id, 'GPKG_NOT_A_GEOPACKAGE', 1 FROM k WHERE site_id % 61 = 0 AND site_id % 53 <> 0
+  UNION ALL SELECT site_id, 'INVALID_FILE_METADATA', 1 FROM k WHERE site_id % 59 = 0
+  UNION ALL SELECT site_id, 'DUPLICATE_HABITAT_REF', count(*) FROM
+    (SELECT site_id, parcel_ref FROM p GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT site_id, 'GPKG_RLB_UNREADABLE_GEOMETRY', 1 FROM ok WHERE site_id % 37 = 0
+  UNION ALL SELECT site_id, 'REDLINE_INVALID_GEOMETRY', 1 FROM ok WHERE site_id % 43 = 0 AND site_id % 37 <> 0
+  UNION ALL SELECT site_id, 'AREA_PARCELS_INVALID_GEOMETRY', 1 FROM ok WHERE site_id % 47 = 0
+  UNION ALL SELECT site_id, 'GPKG_RIVERS_NO_LINESTRING_GEOMETRY', 1 FROM ok WHERE site_id % 23 = 0
+    OR (site_id % 29 = 0 AND k = 1 AND two)
+  UNION ALL SELECT site_id, 'GPKG_RIVERS_UNREADABLE_GEOMETRY', 1 FROM ok WHERE site_id % 31 = 0 AND site_id % 23 <> 0
+  UNION ALL SELECT site_id, 'GPKG_RIVERS_WRONG_GEOMETRY_TYPE', 1 FROM ok WHERE site_id % 29 = 0 AND two AND k > 1
+    AND site_id % 23 <> 0 AND site_id % 31 <> 0
+  UNION ALL SELECT a.site_id, 'PARCEL_OVERLAPS', count(*) FROM p a JOIN p b ON b.site_id = a.site_id AND b.n = a.n + 1
+    WHERE a.reaches AND a.legal AND b.legal GROUP BY 1
+  UNION ALL SELECT l.site_id, c.code, 1 FROM lined l JOIN p ON p.site_id = l.site_id AND p.n = l.k AND reaches AND legal
+    CROSS JOIN (VALUES ('SLIVERS_OUTSIDE_REDLINE'), ('AREA_PARCELS_OUTSIDE_REDLINE')) c(code)
+  UNION ALL SELECT site_id, 'HEDGEROWS_OUTSIDE_REDLINE', 1 FROM hedge GROUP BY site_id HAVING sum(m) > 0.1
+  UNION ALL SELECT site_id, 'WATERCOURSES_OUTSIDE_REDLINE', 1 FROM river GROUP BY site_id HAVING sum(m) > 0.1
+  UNION ALL SELECT site_id, 'IGGIS_OUTSIDE_REDLINE', 1 FROM lined WHERE site_id % 5 = 0
+  UNION ALL SELECT l.site_id, 'AREA_SUM_MISMATCH', 1 FROM lined l WHERE EXISTS (SELECT 1 FROM p WHERE p.site_id = l.site_id AND legal)
+  UNION ALL SELECT site_id, 'REDLINE_OUTSIDE_ENGLAND', 1 FROM lined WHERE k * 100.0 > 450.0)
+SELECT site_id, code, CAST(violations AS BIGINT) AS violations FROM hits"""
+
+
+@query("validate_every_layer", EVERY_LAYER)
+def validate_every_layer(spark, folder):
+    found = va.validate(every_layer(spark, folder))
+    return found.groupBy("site_id", "code").agg(F.count(F.lit(1)).alias("violations"))
+
+
 @query(
     "sql_geometry_functions",
     f"""{RECTANGLES} SELECT site_id, n, ((x1 - x0) * 50)::DOUBLE AS area_m2, ((x1 - x0) * 50)::DOUBLE AS shared_m2,
