@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NET_GAIN_THRESHOLD_PERCENT = 10.0
+#: Units are added up in this type: exact, hence the same in whatever order rows come.
+SUMMED = "decimal(38,18)"
 
 
 def meets_net_gain(percentage: Column) -> Column:
@@ -21,15 +23,20 @@ def net_change(baseline: Column, post: Column) -> dict[str, Column]:
 
 
 def net_gain(priced: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Totals per site over the rows that both sides could price, in one aggregate."""
+    """Totals per site over the rows that both sides could price, in one aggregate.
+
+    Totals do not depend on how rows are dealt over tasks, so neither does a site that stands exactly at the threshold.
+    """
     units = priced.select(
         *keys, F.col("base_price.units").alias("before"), F.col("post_price.units").alias("after")
     )
     before, after = F.col("before"), F.col("after")
     both = before.isNotNull() & after.isNotNull()
     totals = units.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(both, before)), F.lit(0.0)).alias("baseline_units"),
-        F.coalesce(F.sum(F.when(both, after)), F.lit(0.0)).alias("post_units"),
+        *[
+            F.coalesce(F.sum(F.when(both, side.cast(SUMMED))).cast("double"), F.lit(0.0)).alias(name)
+            for side, name in ((before, "baseline_units"), (after, "post_units"))
+        ],
         F.count_if(both).alias("priced"),
         F.count_if(~both).alias("skipped"),
     )

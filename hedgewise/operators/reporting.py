@@ -3,54 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgewise.functions.scalars import gain_cell, rounded_ms
-from hedgewise.plans import keyed_join
+from hedgewise.plans import keyed_join, written
 
 P95 = 0.95
 
 
+#: Cells of a histogram, and values that a cell may hold to be ordered as it is.
+CELLS, SMALL = 1024, 10_000
+
+
 def exact_percentile(
-    samples: DataFrame, keys: Sequence[str], value: str, share: float, out: str, step: float = 1.0
+    samples: DataFrame, keys: Sequence[str], value: str, share: float, out: str, cells: int = CELLS, small: int = SMALL
 ) -> DataFrame:
-    """Interpolated percentile per key without gathering a key's values in one task.
+    """Interpolated percentile per key, by histograms that narrow.
 
-    Equal values are counted first. Cells of width ``step`` get running totals, the two
-    cells holding the wanted ranks are picked, and only their values are ordered.
+    Equal values are counted once. Each key's values between its own least and greatest are counted in ``cells`` cells; the
+    cell that holds a wanted rank is cut again between the least and the greatest value in it, until it holds at most ``small``
+    different values, which are ordered. So neither wide nor narrow ranges, nor far outliers, put more than that in one task,
+    and a key's cells are never more than ``cells``. Nulls and NaN are no values.
     """
     keys = list(keys)
-    counts = (
-        samples.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("cell", F.floor(F.col("v") / step))
-    )
-    by_cell = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("rows").alias("rows"))
-    cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(by_cell), F.lit(0)))
-    totals = cells.groupBy(*keys).agg(F.sum("rows").alias("total"))
-    rank = (F.col("total") - 1) * F.lit(share)
-    wanted = totals.select(
-        *keys, F.floor(rank).alias("low"), F.ceil(rank).alias("high"), (rank - F.floor(rank)).alias("part")
+    number = F.col(value).cast("double")
+    counts = written(
+        samples.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("v")).agg(F.count(F.lit(1)).alias("rows")),
+        "value-counts",
     )
-    near = cells.join(wanted, keys).where(
-        (F.col("before") <= F.col("high")) & (F.col("before") + F.col("rows") > F.col("low"))
-    ).drop("rows")
-    in_cell = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(near, [*keys, "cell"]).withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("rows").over(in_cell), F.lit(0))
+    facts = [F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("kinds")]
+    rank = (F.sum("rows") - 1) * F.lit(share)
+    stats = written(counts.groupBy(*keys).agg(*facts, rank.alias("rank")), "value-ranges")
+    ends = F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))
+    wanted = stats.select(*keys, "low", "high", "kinds", F.lit(0).cast("long").alias("before"), F.explode(ends).alias("nth"))
+    own = [*keys, "nth"]
+    done = []
+    while True:
+        wanted = written(wanted, "wanted-ranks")
+        done.append(wanted.where(F.col("kinds") <= small))
+        wide = wanted.where(F.col("kinds") > small)
+        if wide.isEmpty():
+            break
+        inside = keyed_join(counts, wide, keys, "inner").where("v BETWEEN low AND high")
+        # halves, so that the range of the greatest numbers is a number too
+        cell = F.least(F.lit(cells - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * cells))
+        filled = inside.groupBy(*own, "before", cell.alias("cell")).agg(*facts, F.sum("rows").alias("rows"))
+        upward = Window.partitionBy(*own).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        filled = filled.withColumn("before", F.col("before") + F.coalesce(F.sum("rows").over(upward), F.lit(0)))
+        wanted = filled.where("before <= nth AND nth < before + rows").select(*keys, "low", "high", "kinds", "before", "nth")
+    last = keyed_join(counts, reduce(DataFrame.unionByName, done), keys, "inner").where("v BETWEEN low AND high")
+    upward = Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = last.withColumn("start", F.col("before") + F.coalesce(F.sum("rows").over(upward), F.lit(0)))
+    values = placed.where("start <= nth AND nth < start + rows").groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    part = F.col("rank") - F.floor("rank")
+    return keyed_join(stats.select(*keys, "rank"), values, keys, "inner").select(
+        *keys, (F.col("a") + (F.col("b") - F.col("a")) * part).alias(out)
     )
 
-    def at(name: str) -> Column:
-        holds = (F.col("start") <= F.col(name)) & (F.col("start") + F.col("rows") > F.col(name))
-        return F.max(F.when(holds, F.col("v")))
-
-    ends = placed.groupBy(*keys).agg(at("low").alias("a"), at("high").alias("b"), F.max("part").alias("part"))
-    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(out))
-
 
 def sample_summary(samples: DataFrame, label: str = "label", elapsed: str = "elapsed_ms", ok: str = "success") -> DataFrame:
     """Samples, errors, mean, 95th percentile and verdict per label, and a row of totals.

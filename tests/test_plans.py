@@ -4,11 +4,13 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hedgewise.functions import reproject, scalars
 from hedgewise.operators import reporting
+from hedgewise.operators.netgain import net_gain
 from hedgewise.operators.reporting import exact_percentile
 from hedgewise.operators.validate import fit_to_compare
 from hedgewise.plans import keyed_join, literal_table, numbered, scratch_path
@@ -58,9 +60,24 @@ def test_late_and_repeated_events_reach_the_lake_once(spark):
     lake = scratch_path(spark, "lake")
     rows = [(i, datetime.datetime(2024, 1, 1 + i % 20), 1, "x", 1.0, None) for i in range(40)]
     batch = spark.createDataFrame(rows, audit.EVENT_SCHEMA)
-    for part in (batch.where("event_id > 9"), batch.where("event_id < 20"), batch):  # ever later, and once more
-        audit.unseen(part, lake).write.mode("append").partitionBy("event_date").parquet(lake)
-    assert sorted(r.event_id for r in spark.read.parquet(lake).collect()) == list(range(40))
+    for k, part in enumerate((batch.where("event_id > 9"), batch.where("event_id < 20"), batch)):  # ever later, and once more
+        audit.add_batch(part, k, lake)
+    assert sorted(r.event_id for r in audit.read_lake(spark, lake).collect()) == list(range(40))
+
+
+def test_a_batch_that_dies_between_its_files_is_not_read_and_runs_again(spark):
+    lake = scratch_path(spark, "lake")
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 5), 1, "x", 1.0, None) for i in range(30)]
+    batch = spark.createDataFrame(rows, audit.EVENT_SCHEMA)
+    audit.add_batch(batch.where("event_id < 10"), 0, lake)
+    second = batch.where("event_id >= 5")
+    # what a batch leaves that dies after some of its files: part of its dates, and no commit record
+    part = audit.unseen(second, lake).where("event_date < '2024-01-03'")
+    part.write.partitionBy("event_date").parquet(f"{lake}/batch_id=1")
+    assert sorted(r.event_id for r in audit.read_lake(spark, lake).collect()) == list(range(10))
+    for _ in range(2):  # the second time after it was committed
+        audit.add_batch(second, 1, lake)
+    assert sorted(r.event_id for r in audit.read_lake(spark, lake).collect()) == list(range(30))
 
 
 def test_summary_tells_empty_labels_from_totals(spark):
@@ -96,6 +113,37 @@ def test_percentile_of_a_hot_label(spark):
         assert abs(got[label] - np.percentile(data, 95)) < 1e-9
 
 
+def test_percentiles_narrow_to_any_range(spark):
+    rng = random.Random(6)
+    groups = {
+        "within one": [rng.random() for _ in range(3000)],
+        "wide": [rng.uniform(-1e12, 1e12) for _ in range(3000)],
+        "far out": [rng.random() for _ in range(2999)] + [1e12],
+        "greatest": [rng.choice([-1, 1]) * rng.uniform(0, 1.7e308) for _ in range(500)],
+        "one value": [5.0] * 700,
+        "single": [2.5],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("single", None), ("single", float("nan")), ("none", None)]
+    samples = spark.createDataFrame(rows, "label string, v double").repartition(3)
+    for share in (0.95, 0.0, 1.0):
+        got = {r.label: r.p for r in exact_percentile(samples, ["label"], "v", share, "p", cells=16, small=20).collect()}
+        assert set(got) == set(groups)
+        for label, values in groups.items():
+            assert got[label] == pytest.approx(np.percentile(values, 100 * share), rel=1e-12, abs=1e-12), (label, share)
+
+
+def test_net_gain_does_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    rows = []
+    for site in range(40):  # exactly ten percent on paper, in parts that doubles do not hold
+        parts = [rng.randrange(1, 10**6) / 1000 for _ in range(50)]
+        rows += [(site, v, float(f"{v * 1.1:.14e}")) for v in parts]
+    units = spark.createDataFrame(rows, "site_id long, before double, after double")
+    priced = units.select("site_id", F.struct(F.col("before").alias("units")).alias("base_price"), F.struct(F.col("after").alias("units")).alias("post_price"))
+    runs = {str(sorted(tuple(r) for r in net_gain(priced.repartition(k, "after")).collect())) for k in (1, 3, 7, 11)}
+    assert len(runs) == 1
+
+
 def test_years_and_labels(spark):
     texts = ["5 yrs", "30+", "", None, " -3x", "x4", "99999999999999999999"]
     rows = literal_table(spark, "n int, t string", list(enumerate(texts)))

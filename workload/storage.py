@@ -222,7 +222,7 @@ def audit_events_once(spark, folder):
     landed = events.withColumn("turn", late).unionByName(events.where("event_id % 10 = 0").withColumn("turn", F.lit(3)))
     landed.repartitionByRange(4, "turn").drop("turn").write.parquet(landing)
     audit.append_to_lake(audit.read_events(spark, landing, files_per_trigger=1), lake, mark).awaitTermination()
-    return spark.read.parquet(lake).select(
+    return audit.read_lake(spark, lake).select(
         "event_id", "user_id", "event_type", "value", F.date_format("event_date", "yyyy-MM-dd").alias("event_date")
     )
 
