@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hedgewise.operators import workbook as op
-from hedgewise.plans import numbered
+from hedgewise.plans import numbered, written
 from workload import sql as q
 from workload import tables as t
 from workload.pricing import rounded
@@ -22,8 +22,9 @@ def rank(df, out):
 
 
 def sheets(spark, folder, layer="habitats"):
-    """Baseline, created and enhancement sheets of one layer."""
-    rows = t.placed(t.parcels(spark, folder)).withColumns(
+    """Baseline, created and enhancement sheets of one layer, numbered once and stored."""
+    numbers = t.placed(t.parcels(spark, folder).drop("advance_raw", "delay_raw", "retention"))
+    rows = written(numbers, "sheet-rows").withColumns(
         {
             "ref": F.col("n").cast("int"),
             "broad": F.col("base_broad"),
