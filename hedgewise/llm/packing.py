@@ -25,9 +25,9 @@ from hedgewise.plans import written
 
 CAPACITY = 2048
 #: Words whose ids a task remembers; the memory is two such generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Texts are tokenized in slices of about so many bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Cells by which the pieces of one length are numbered.
 CELLS = 256
 

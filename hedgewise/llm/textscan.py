@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Texts are worked on in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -71,6 +72,20 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows and bytes of an Arrow batch of whole texts. Both sides of a worker's pipe hold one, so it is kept small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches within BATCH_ROWS and BATCH_BYTES; smaller settings stay as they are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        said = spark.conf.get(name).lower().rstrip("b")
+        now = int(said.rstrip("kmgtp") or 0) << 10 * ("kmgtp".find(said[-1:] or "-") + 1)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def lean(run: Callable) -> Callable:
     """A task's function over batches that gives memory back after each batch and at its end."""
 
