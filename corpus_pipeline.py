@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hedgewise.llm import decontam, neardup, packing, secrets, toxicity
 from hedgewise.llm.queries import tokenizer_path
+from hedgewise.llm.textscan import bounded_batches
 from hedgewise.plans import written
 
 #: Share of word shingles, in percent, from which two documents of the pipeline are near duplicates.
@@ -17,26 +18,31 @@ ALIKE_PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    bounded_batches(spark)
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    bounded_batches(spark)
     return neardup.deduplicated(docs, ALIKE_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    bounded_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced by a mark."""
+    bounded_batches(spark)
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences."""
+    bounded_batches(spark)
     return packing.packed(docs, tokenizer_path())
 
 
