@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hedgewise.functions.geometry import box_wkb, line_wkb, point_wkb
 from hedgewise.functions.scalars import layer_ref
 from hedgewise.operators.pricing import LOST, RETAINED
-from hedgewise.plans import keyed_join
+from hedgewise.plans import keyed_join, sized_join
 from hedgewise.schema import LAYER_TABLES
 
 PARCEL_WIDTH, SITE_HEIGHT = 100.0, 50.0
@@ -134,7 +134,7 @@ def override_rows(features: DataFrame, overrides: DataFrame) -> DataFrame:
     given = [c for c in names if c in overrides.columns]
     key = ["site_id", "layer", "feature_id"]
     new = overrides.select(*key, *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("pinned"))
-    joined = features.join(new, key, "left")
+    joined = sized_join(features, new, key, "left")
     joined = joined.withColumns({c: F.coalesce(f"new_{c}", F.col(c)) for c in given})
     mirrored = F.coalesce(F.col("pinned"), F.lit(False)) & (F.col("retention") == RETAINED)
     joined = joined.withColumns(
@@ -161,7 +161,7 @@ def pin_habitats(features: DataFrame, pins: DataFrame) -> DataFrame:
 def flawed_sites(sites: DataFrame, flaws: DataFrame) -> DataFrame:
     """Sites moved off the country where their flaw asks for it; to be done before generating."""
     abroad = flaws.where("flaw = 'redline-not-in-england'").select("site_id", F.lit(True).alias("abroad"))
-    moved = sites.join(abroad, "site_id", "left")
+    moved = sized_join(sites, abroad, ["site_id"], "left")
     return moved.withColumn("x", F.when(F.col("abroad"), F.col("x") - 2e6).otherwise(F.col("x"))).drop("abroad")
 
 
@@ -171,7 +171,7 @@ def inject_flaws(features: DataFrame, flaws: DataFrame, sites: DataFrame, out_of
     A flaw rewrites columns of particular rows, adds a row, or empties a layer; sites
     without one pass through unchanged. ``sites`` is what the site was generated from.
     """
-    plan = flaws.join(sites.select("site_id", "parcels", "x", "y"), "site_id")
+    plan = sized_join(flaws, sites.select("site_id", "parcels", "x", "y"), ["site_id"])
     rows = keyed_join(features, plan, ["site_id"])
     flaw, n, layer = F.coalesce("flaw", F.lit("")), F.col("feature_id"), F.col("layer")
     x, y, parcels = F.col("x"), F.col("y"), F.col("parcels")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgewise.functions.scalars import parent_ref, summary_label
+from hedgewise.plans import sized_join
 from hedgewise.schema import LAYER_TABLES, REF_COLUMNS, RETENTION, cleared_columns
 
 FAILURE_COLUMNS = ("site_id", "check", "layer", "ref", "rows", "message")
@@ -82,7 +83,7 @@ def redline_differences(baseline: DataFrame, post: DataFrame) -> DataFrame:
         )
     )
     return (
-        before.join(after, "site_id", "full")
+        sized_join(before, after, ["site_id"], "full")
         .withColumn("message", message)
         .where(F.col("message").isNotNull())
         .select(
@@ -110,8 +111,8 @@ def untraced_refs(baseline: DataFrame, post: DataFrame, layer: str) -> DataFrame
         .groupBy("site_id", F.col(ref).alias("ref"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    lost = wanted.join(known.withColumnRenamed("known", "ref"), ["site_id", "ref"], "left_anti")
-    lost = lost.withColumn("known", parent_ref(F.col("ref"))).join(known, ["site_id", "known"], "left_anti")
+    lost = sized_join(wanted, known.withColumnRenamed("known", "ref"), ["site_id", "ref"], "left_anti")
+    lost = sized_join(lost.withColumn("known", parent_ref(F.col("ref"))), known, ["site_id", "known"], "left_anti")
     return lost.select(
         "site_id",
         F.lit("refs").alias("check"),
@@ -139,8 +140,7 @@ def pair_summary(pairs: DataFrame, failures: DataFrame) -> DataFrame:
     """Pairs checked and passed, with the ``passed/total`` label."""
     failed = failures.select("site_id").distinct().withColumn("failed", F.lit(True))
     return (
-        pairs.select("site_id").distinct()
-        .join(failed, "site_id", "left")
+        sized_join(pairs.select("site_id").distinct(), failed, ["site_id"], "left")
         .agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("failed").isNull()).alias("passed"))
         .withColumn("label", summary_label(F.col("passed"), F.col("checked")))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hedgewise.functions.scalars import layer_ref
 from hedgewise.operators.pricing import CREATED, ENHANCED, RETAINED
-from hedgewise.plans import keyed_join, written
+from hedgewise.plans import keyed_join, sized_join, written
 
 ATTRIBUTES = {
     "habitats": ["broad", "type", "distinctiveness", "condition", "strategic_significance"],
@@ -179,7 +179,7 @@ def post_rows(
         "site_id", F.col("lost_no").alias("created_no"), F.col("ref").alias("parcel")
     )
     # read for the pairs and for what is left over
-    matched = written(ranked.join(gone, ["site_id", "created_no"], "left"), "matched-rows")
+    matched = written(sized_join(ranked, gone, ["site_id", "created_no"], "left"), "matched-rows")
     attributes = ATTRIBUTES[layer]
     paired = matched.where("parcel IS NOT NULL").select(
         "site_id", F.col("parcel").alias("ref"), F.col("area").alias("new_size"),

@@ -10,7 +10,7 @@ from hedgewise.operators import scenarios as scn
 from hedgewise.operators import shape_rules as sr
 from hedgewise.operators import spatial as sp
 from hedgewise.operators import validate as va
-from hedgewise.plans import scratch_path, written
+from hedgewise.plans import scratch_path, sized_join, written
 from hedgewise.sources import manifest as man
 from workload import sql as q
 from workload import tables as t
@@ -130,7 +130,7 @@ def flawed_site_codes(spark, folder):
     )
     found = shapes.unionByName(sp.fit_rules(va.without(features, shapes)))
     return (
-        found.join(plan, "site_id", "left")
+        sized_join(found, plan, ["site_id"], "left")
         .groupBy(F.coalesce("flaw", F.lit("none")).alias("flaw"), "code")
         .agg(F.countDistinct("site_id").alias("sites"))
     )
