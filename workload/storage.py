@@ -142,15 +142,23 @@ def _site_file(key: int, name: str, size: int) -> bytes:
     return content
 
 
+FILES_PER_BATCH = 64
+FILES_PER_TASK = 10_000
+
+
 def _site_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        content = [_site_file(*row) for row in zip(batch["p_partkey"], batch["p_name"], batch["p_size"])]
-        yield pd.DataFrame({"path": [f"/sites/{k}.gpkg" for k in batch["p_partkey"]], "content": content})
+    for whole in batches:
+        for start in range(0, len(whole), FILES_PER_BATCH):
+            batch = whole.iloc[start : start + FILES_PER_BATCH]
+            content = [_site_file(*row) for row in zip(batch["p_partkey"], batch["p_name"], batch["p_size"])]
+            yield pd.DataFrame({"path": [f"/sites/{k}.gpkg" for k in batch["p_partkey"]], "content": content})
 
 
 def site_files(spark, folder):
     rows = t.load(spark, folder, "part").select("p_partkey", "p_name", "p_size")
-    return rows.mapInPandas(_site_files, "path string, content binary")
+    # few bytes make large files: as many tasks as the files need, not as the table's bytes would get
+    tasks = max(spark.sparkContext.defaultParallelism, rows.count() // FILES_PER_TASK)
+    return rows.repartition(tasks).mapInPandas(_site_files, "path string, content binary")
 
 
 @query(
