@@ -69,6 +69,21 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert all(found[i] for i in range(300)) and not any(found[1000 + i] for i in range(5))
 
 
+def test_perplexity_tells_bytes_apart(spark):
+    """The same words in odd case are not what the model has seen."""
+    rng = random.Random(3)
+    vocabulary = [*words(rng, 300, "etaoin"), "1999", "2011"]
+    texts = [" ".join(rng.choices(vocabulary, k=80)) for _ in range(300)]
+    rows = [(i, text, "en") for i, text in enumerate(texts)]
+    odd = ["".join(rng.choice((c, c.upper())) for c in text) for text in texts[:5]]
+    rows += [(1000 + i, text, "en") for i, text in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert all(found[i] for i in range(300)) and not any(found[1000 + i] for i in range(5))
+    model = quality.fitted(docs, quality.BYTES)
+    assert model.probability(int.from_bytes(b"eta\0") + np.arange(256)).sum() == pytest.approx(1)
+
+
 ASSIGN = re.compile(
     """((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
 )
