@@ -97,6 +97,23 @@ def test_numbered_matches_row_number(spark):
     assert sorted(ours.collect()) == sorted(plain.collect())
 
 
+def test_numbered_cuts_only_crowded_keys(spark):
+    """Keys beyond the bound by cells, the others whole; rows with a null in a key or a slice count but are left out."""
+    rows = skewed(spark).withColumn("a", F.when(F.col("b") % 50 != 7, F.col("a")))
+    rows = rows.unionByName(rows.limit(20).withColumn("site_id", F.lit(None).cast("long")))
+    slices = {"s1": F.floor(F.col("a") / 100), "s2": F.col("a")}
+    whole = rows.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("a", "b")).cast("long"))
+    whole = whole.where("site_id IS NOT NULL AND a IS NOT NULL")
+    for most in (0, 500, 10_000):
+        assert sorted(numbered(rows, ["site_id"], ["a", "b"], "n", slices, most).collect()) == sorted(whole.collect())
+
+
+def test_numbered_shuffles_small_groups_once(spark):
+    rows = numbered(skewed(spark), ["site_id"], ["a", "b"], "n", {"s": F.col("a")})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_significant_matches_exact_rounding(spark):
     random.seed(1)
     values = [random.uniform(1e-7, 10.0 ** random.randint(-6, 9)) for _ in range(3000)] + [0.0, 991.4536285714285, 8724.444333333335]
