@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,22 +26,47 @@ class Sequences:
         return Sequences(self.ids[at], bounds)
 
 
+def _first_embeddings(rng: np.random.Generator, buckets: int, dim: int, size: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows) of the embeddings before any training, some rows at a time; id 0 has none."""
+    for at in range(0, buckets, size):
+        rows = (rng.normal(size=(min(size, buckets - at), dim)) * 0.1).astype(np.float32)
+        if not at:
+            rows[0] = 0
+        yield at, rows
+
+
 class ConvNet:
     """Logit = v . max over positions of relu(filters) + c. Id 0 is padding: its embedding stays zero."""
 
     def __init__(self, buckets: int, dim: int, widths: tuple[int, ...], filters: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.widths = widths
+        self.widths, self.seed = widths, seed
         self.w = {
-            "emb": (rng.normal(size=(buckets, dim)) * 0.1).astype(np.float32),
+            "emb": np.concatenate([rows for _, rows in _first_embeddings(rng, buckets, dim)]),
             "v": (rng.normal(size=filters * len(widths)) * 0.1).astype(np.float32),
             "c": np.zeros(1, np.float32),
         }
-        self.w["emb"][0] = 0
         for k in widths:
             self.w[f"f{k}"] = (rng.normal(size=(k, dim, filters)) / np.sqrt(k * dim)).astype(np.float32)
             self.w[f"b{k}"] = np.zeros(filters, np.float32)
 
+    def __getstate__(self) -> dict:
+        """Embeddings that no sequence has moved are left out: they follow from the seed."""
+        emb, moved = self.w["emb"], []
+        for at, rows in _first_embeddings(np.random.default_rng(self.seed), *emb.shape):
+            moved.append(at + np.flatnonzero((emb[at : at + len(rows)] != rows).any(1)))
+        moved = np.concatenate(moved).astype(np.int32)
+        rest = {k: v for k, v in self.w.items() if k != "emb"}
+        return {"widths": self.widths, "seed": self.seed, "shape": emb.shape, "moved": moved, "rows": emb[moved], "rest": rest}
+
+    def __setstate__(self, state: dict) -> None:
+        self.widths, self.seed = state["widths"], state["seed"]
+        emb = np.empty(state["shape"], np.float32)
+        for at, rows in _first_embeddings(np.random.default_rng(self.seed), *emb.shape):
+            emb[at : at + len(rows)] = rows
+        emb[state["moved"]] = state["rows"]
+        self.w = {"emb": emb, **state["rest"]}
+
     def _laid(self, seqs: Sequences) -> tuple[np.ndarray, np.ndarray]:
         """Ids with padding behind each sequence, so that a filter may reach over its end but not into the next one."""
         pad = max(self.widths) - 1

@@ -1,6 +1,7 @@
 """Quality, secrets, shards, packing, toxicity: against plain Python, and over odd rows."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -23,6 +24,18 @@ def blank_split(text):
     return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
 
 
+def test_network_is_sent_without_what_its_seed_gives():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(1, 50, (400, 2)).astype(np.int32)
+    seqs, y = Sequences(ids, np.arange(0, 401, 10)), (np.arange(40) % 2).astype(np.float32)
+    net = ConvNet(1 << 14, 8, (1, 2), 4)
+    net.fit(seqs, y, epochs=2)
+    sent = pickle.dumps(net)
+    again = pickle.loads(sent)
+    assert len(sent) < 20_000  # all embeddings are 512 kB
+    assert all((again.w[k] == v).all() for k, v in net.w.items()) and (again.logits(seqs) == net.logits(seqs)).all()
+
+
 def test_quality_counts(spark):
     rng = random.Random(1)
     rows = []
