@@ -429,6 +429,19 @@ def _areas(shapes: Alike) -> np.ndarray:
 
 
 MEASURES = FACTS_TYPE.names[2:8]
+#: Points of a shape up to which extents are taken point by point over all shapes.
+FEW_POINTS = 64
+
+
+def _extents(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of each shape."""
+    if not 0 < points.shape[1] <= FEW_POINTS:
+        return (points.min(1), points.max(1)) if points.shape[1] else (np.zeros((len(points), 2)),) * 2
+    low, high = points[:, 0].copy(), points[:, 0].copy()
+    for k in range(1, points.shape[1]):
+        np.minimum(low, points[:, k], out=low)
+        np.maximum(high, points[:, k], out=high)
+    return low, high
 
 
 def _batch_facts(wkb: pa.Array) -> dict[str, np.ndarray]:
@@ -439,9 +452,10 @@ def _batch_facts(wkb: pa.Array) -> dict[str, np.ndarray]:
     facts["kind"], facts["is_box"] = np.full(n, None, object), np.full(n, None, object)
     for shapes in _alike(wkb):
         points = shapes.points()
-        finite = np.isfinite(points).all((1, 2))
+        low, high = _extents(points)
+        finite = (np.isfinite(low) & np.isfinite(high)).all(1)  # a point that is not finite shows in an extent
         if not finite.all():
-            shapes, points = shapes.of(finite), points[finite]
+            shapes, points, low, high = shapes.of(finite), points[finite], low[finite], high[finite]
         rows = shapes.rows
         facts["kind"][rows] = shapes.kind
         if not points.shape[1]:
@@ -449,10 +463,10 @@ def _batch_facts(wkb: pa.Array) -> dict[str, np.ndarray]:
             continue
         surface = shapes.kind in (POLYGON, MULTIPOLYGON)
         facts["status"][rows] = "ok"
-        edges = shapes.edges()
-        lined = shapes.kind in (LINESTRING, MULTILINESTRING)
-        facts["length"][rows] = np.hypot(edges[:, :, 2] - edges[:, :, 0], edges[:, :, 3] - edges[:, :, 1]).sum(1) if lined else 0.0
-        low, high = points.min(1), points.max(1)
+        facts["length"][rows] = 0.0
+        if shapes.kind in (LINESTRING, MULTILINESTRING):
+            edges = shapes.edges()
+            facts["length"][rows] = np.hypot(edges[:, :, 2] - edges[:, :, 0], edges[:, :, 3] - edges[:, :, 1]).sum(1)
         facts["minx"][rows], facts["miny"][rows] = low[:, 0], low[:, 1]
         facts["maxx"][rows], facts["maxy"][rows] = high[:, 0], high[:, 1]
         box = _box_shapes(shapes) if surface else np.zeros(len(rows), bool)
