@@ -128,11 +128,14 @@ def override_rows(features: DataFrame, overrides: DataFrame) -> DataFrame:
 
     ``overrides`` has site_id, layer, feature_id and any of ref, retention, base_name,
     base_condition, prop_name, prop_condition, advance_raw, delay_raw. A retained row
-    mirrors its baseline to the proposed side.
+    mirrors its baseline to the proposed side. Only rows whose number lies between the
+    overrides' own in their layer are shuffled; no other can have one.
     """
     names = ["feature_ref", *FEATURE_COLUMNS[4:-1]]
     given = [c for c in names if c in overrides.columns]
     key = ["site_id", "layer", "feature_id"]
+    within = _numbers_within(overrides)
+    whole, features = features, features.where(within)
     new = overrides.select(*key, *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("pinned"))
     joined = sized_join(features, new, key, "left")
     joined = joined.withColumns({c: F.coalesce(f"new_{c}", F.col(c)) for c in given})
@@ -143,7 +146,20 @@ def override_rows(features: DataFrame, overrides: DataFrame) -> DataFrame:
             for c in ("name", "condition")
         }
     )
-    return joined.select(*features.columns)
+    return joined.select(*features.columns).unionByName(whole.where(~within))
+
+
+def _numbers_within(overrides: DataFrame) -> Column:
+    """Whether a row's number lies between the least and the greatest of the overrides in its layer."""
+    known = list(LAYER_TABLES.values())
+    layer = F.col("layer")
+    of = [*[layer == name for name in known], ~layer.isin(*known)]
+    bounds = overrides.agg(*[f(F.when(on, F.col("feature_id"))) for on in of for f in (F.min, F.max)]).first()
+    within = F.lit(False)
+    for k, on in enumerate(of):
+        if bounds[2 * k] is not None:
+            within = within | (on & F.col("feature_id").between(bounds[2 * k], bounds[2 * k + 1]))
+    return F.coalesce(within, F.lit(False))
 
 
 def pin_habitats(features: DataFrame, pins: DataFrame) -> DataFrame:
