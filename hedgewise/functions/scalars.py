@@ -46,8 +46,13 @@ def years(raw: Column) -> Column:
 
 
 def layer_ref(layer: str, number: Column) -> Column:
-    """``H012``: prefix plus the number padded to at least three digits."""
-    return F.format_string(REF_PREFIX[layer] + "%03d", number)
+    """``H012``: prefix plus the whole number padded to at least three digits (``H-05``, and ``Hnull`` without one)."""
+    digits = number.cast("string")
+    padded = (
+        F.when(number.between(0, 99), F.lpad(digits, 3, "0")).when(number.between(-9, -1), F.concat(F.lit("-0"), F.substring(digits, 2, 1)))
+        .otherwise(F.coalesce(digits, F.lit("null")))
+    )
+    return F.concat(F.lit(REF_PREFIX[layer]), padded)
 
 
 def parent_ref(ref: Column) -> Column:
