@@ -3,6 +3,8 @@ how the data is partitioned."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,19 @@ def layer_sizes(parcels: Column) -> dict[str, Column]:
 
 
 def _numbered(sites: DataFrame, count: Column) -> DataFrame:
-    """One row per feature number 1..count of each site, spread over the cluster.
+    """One row per feature number 1..count of each site; ``sites`` are spread over the cluster.
 
-    Numbers are laid out in blocks first, so a site of very many features is cut into
+    Numbers of a site of very many features are laid out in blocks first, so it is cut into
     many rows before any row is expanded.
     """
     block = 4096
-    blocks = sites.withColumn("count", count.cast("long")).where(F.col("count") > 0)
+    counted = sites.withColumn("count", count.cast("long")).where(F.col("count") > 0)
+    small = counted.where(F.col("count") <= block).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).drop("count")
+    blocks = counted.where(F.col("count") > block)
     blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / block))))
     spread = blocks.repartition("site_id", "block")
     last = F.least(F.col("count"), (F.col("block") + 1) * block)
-    return spread.withColumn("n", F.explode(F.sequence(F.col("block") * block + 1, last))).drop("block", "count")
+    return small.unionByName(spread.withColumn("n", F.explode(F.sequence(F.col("block") * block + 1, last))).drop("block", "count"))
 
 
 def _name(catalogue: list[str], pick: Column) -> Column:
@@ -71,12 +75,15 @@ def _name(catalogue: list[str], pick: Column) -> Column:
 
 
 def generate(
-    sites: DataFrame, habitats: list[str], conditions: list[str], hedges: list[str], rivers: list[str]
+    sites: DataFrame, habitats: list[str], conditions: list[str], hedges: list[str], rivers: list[str],
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Features of all five layers for every row of ``sites`` (site_id, parcels, seed, x, y).
+    """Features of all five layers for every row of ``sites`` (site_id, parcels, seed, x, y), with the ``carried`` columns of
+    their site.
 
     One boundary per site, tiled exactly by its parcels; lines and points lie inside.
-    """
+    """
+    sites = sites.repartition("site_id")
     seed, n = F.col("seed"), F.col("n")
     x, y, parcels = F.col("x"), F.col("y"), F.col("parcels")
     sizes = layer_sizes(parcels)
@@ -86,7 +93,7 @@ def generate(
     redline = sites.select(
         "site_id", F.lit(LAYER_TABLES["redline"]).alias("layer"), F.lit(1).cast("long").alias("feature_id"),
         text.alias("feature_ref"), *[text.alias(c) for c in FEATURE_COLUMNS[4:-1]],
-        box_wkb(x, y, x + width, y + SITE_HEIGHT).alias("geometry"),
+        box_wkb(x, y, x + width, y + SITE_HEIGHT).alias("geometry"), *carried,
     )
 
     def attributes(names: list[str], created: str) -> list[Column]:
@@ -107,7 +114,7 @@ def generate(
     def features(layer: str, count: Column, names: list[str], created: str, shape: Column) -> DataFrame:
         return _numbered(sites, count).select(
             "site_id", F.lit(LAYER_TABLES[layer]).alias("layer"), n.alias("feature_id"),
-            layer_ref(layer, n).alias("feature_ref"), *attributes(names, created), shape.alias("geometry"),
+            layer_ref(layer, n).alias("feature_ref"), *attributes(names, created), shape.alias("geometry"), *carried,
         )
 
     at = x + F.pmod(n - 1, parcels) * PARCEL_WIDTH
@@ -181,14 +188,32 @@ def flawed_sites(sites: DataFrame, flaws: DataFrame) -> DataFrame:
     return moved.withColumn("x", F.when(F.col("abroad"), F.col("x") - 2e6).otherwise(F.col("x"))).drop("abroad")
 
 
+#: Columns by which a flaw is planted, and what they are called on sites and features that carry them.
+PLAN = {"flaw": "flaw", "parcels": "flaw_parcels", "x": "flaw_x", "y": "flaw_y"}
+
+
+def _plan(flaws: DataFrame, sites: DataFrame) -> DataFrame:
+    return sized_join(flaws, sites.select("site_id", "parcels", "x", "y"), ["site_id"])
+
+
+def planned_sites(sites: DataFrame, flaws: DataFrame) -> DataFrame:
+    """Sites with the flaws they get, for ``generate`` to carry: a join of sites, not of all their features."""
+    plan = _plan(flaws, sites).select("site_id", *[F.col(c).alias(n) for c, n in PLAN.items()])
+    return sized_join(sites, plan, ["site_id"], "left")
+
+
 def inject_flaws(features: DataFrame, flaws: DataFrame, sites: DataFrame, out_of_scope: str) -> DataFrame:
     """Give each site in ``flaws`` (site_id, flaw) its flaw.
 
     A flaw rewrites columns of particular rows, adds a row, or empties a layer; sites
     without one pass through unchanged. ``sites`` is what the site was generated from.
+    Features that carry the columns of ``planned_sites`` are not joined again.
     """
-    plan = sized_join(flaws, sites.select("site_id", "parcels", "x", "y"), ["site_id"])
-    rows = keyed_join(features, plan, ["site_id"])
+    if set(PLAN.values()) <= set(features.columns):
+        rows = features.withColumnsRenamed({n: c for c, n in PLAN.items()})
+        features = features.drop(*PLAN.values())
+    else:
+        rows = keyed_join(features, _plan(flaws, sites), ["site_id"])
     flaw, n, layer = F.coalesce("flaw", F.lit("")), F.col("feature_id"), F.col("layer")
     x, y, parcels = F.col("x"), F.col("y"), F.col("parcels")
     left, right = x + (n - 1) * PARCEL_WIDTH, x + n * PARCEL_WIDTH

@@ -121,13 +121,15 @@ def flawed_site_codes(spark, folder):
     """Which shape and fit rules each planted flaw trips, over all sites."""
     plan = flaws(spark, folder)
     base = gen.flawed_sites(sites(spark, folder), plan)
-    made = gen.generate(base, NAMES, t.CONDITIONS, HEDGES, RIVERS)
+    made = gen.generate(gen.planned_sites(base, plan), NAMES, t.CONDITIONS, HEDGES, RIVERS, carried=gen.PLAN.values())
     flawed = gen.inject_flaws(made, plan, base, "Broad 1 - Type 1").withColumn("stage", F.lit("baseline"))
-    features = sr.with_facts(flawed)
+    # rules on shapes read no attributes
+    features = sr.with_facts(flawed.select("site_id", "stage", "layer", "feature_id", "feature_ref", "geometry"))
     features = written(features, "flawed")
     shapes = sr.shape_rules(base.withColumn("stage", F.lit("baseline")), features).unionByName(
         sr.legal_shape_rules(features)
     )
+    shapes = written(shapes, "shapes-of-flawed")
     found = shapes.unionByName(sp.fit_rules(va.without(features, shapes)))
     return (
         sized_join(found, plan, ["site_id"], "left")
